@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, language_id, packing, substrings, url_filter, warc
+from . import decontam, language_id, packing, pii, substrings, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op3_url_filter": url_filter.op3,
     "op5_decontamination": decontam.op5,
     "op6_warc": warc.op6,
+    "op7_pii": pii.op7,
     "op9_packing": packing.op9,
     "op10_substrings": substrings.op10,
 }
