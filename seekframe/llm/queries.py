@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, language_id, packing, pii, substrings, url_filter, warc
+from . import decontam, language_id, near_duplicates, packing, pii, substrings, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontam.op5,
     "op6_warc": warc.op6,
     "op7_pii": pii.op7,
+    "op8_near_duplicates": near_duplicates.op8,
     "op9_packing": packing.op9,
     "op10_substrings": substrings.op10,
 }
