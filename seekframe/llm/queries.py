@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, language_id, near_duplicates, packing, pii, substrings, url_filter, warc
+from . import decontam, embeddings, language_id, near_duplicates, packing, pii, substrings, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1,
+    "op2_embeddings": embeddings.op2,
     "op3_url_filter": url_filter.op3,
     "op5_decontamination": decontam.op5,
     "op6_warc": warc.op6,
