@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, language_id, near_duplicates, packing, pii, substrings, url_filter, warc
+from . import decontam, embeddings, language_id, near_duplicates, packing, pii, substrings, suffixes, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_embeddings": embeddings.op2,
     "op3_url_filter": url_filter.op3,
+    "op4_suffixes": suffixes.op4,
     "op5_decontamination": decontam.op5,
     "op6_warc": warc.op6,
     "op7_pii": pii.op7,
