@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekframe.llm import language_id, packing
+from seekframe.llm import decontam, language_id, near_duplicates, packing, pii
 from seekframe.llm.common import staged
 
 STAGES = [
     ("language_id", language_id.keep_identified),
+    ("near_duplicates", near_duplicates.keep_one),
+    ("decontamination", decontam.decontaminate),
+    ("pii", pii.redact_stage),
     ("packing", packing.pack_stage),
 ]
 
