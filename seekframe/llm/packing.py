@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 WINDOW = 2048
 END = 1
 BLOCK_TOKENS = 8_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+MARKS, DOTTED = ".,;:!?", "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -45,17 +46,45 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        ends = [i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[ends] = True
+        self.end = self.raw([END])
+        self.marks = {m: self.raw(self.model.encode(m, add_special_tokens=False).ids) for m in MARKS}
+
+    @staticmethod
+    def raw(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = tuple(e.ids)
+        # A word of letters alone is one token group, so many can be encoded as one text and told apart by their
+        # ends; a mark after it is a group of its own. The small dotted I is no longer a letter alone.
+        known = self.known
+        cores = [w[:-1] if w[-1] in MARKS else w for w in new]
+        plain = list({w for w in cores if w.isalpha() and DOTTED not in w and w not in known})
+        if plain:
+            ids = self.model.encode(" ".join(plain), add_special_tokens=False).ids
+            ends = np.flatnonzero(self.ends[ids]).tolist()
+            if len(ends) == len(plain):
+                raw, at = self.raw(ids), 0
+                for word, end in zip(plain, ends, strict=True):
+                    known[word] = raw[at : 4 * end + 4]
+                    at = 4 * end + 4
+        rest = []
+        for word, core in zip(new, cores, strict=True):
+            if word in known:
+                continue
+            if core in known and core.isalpha() and DOTTED not in core:
+                known[word] = known[core] + self.marks[word[-1]]
+            else:
+                rest.append(word)
+        for word, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[word] = self.raw(e.ids)
 
     def ids(self, text: str) -> np.ndarray:
         if ODD_SPACE.search(text):  # str.split() parts at these, the vocabulary does not
@@ -67,9 +96,7 @@ class WordTokenizer:
         except KeyError:
             self.learn(set(words))
             parts = [known[w] for w in words]
-        out = [i for p in parts for i in p]
-        out.append(END)
-        return np.array(out, "<u4")
+        return np.frombuffer(b"".join([*parts, self.end]), "<u4")
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -149,7 +176,7 @@ class _Packer:
             self.put(doc, at, ids[at : at + self.window], n, self.sequence, 0)
             self.sequence += 1
         if n % self.window:
-            self.rest.append((doc, n - n % self.window, ids[n - n % self.window :].astype(np.uint32), n))
+            self.rest.append((doc, n - n % self.window, ids[n - n % self.window :], n))
             self.held += n % self.window
 
     def pack(self) -> None:
