@@ -89,7 +89,7 @@ def scored(urls: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFram
 
 
 def threshold(scores: DataFrame) -> float:
-    """The score that parts accepted from rejected URLs with the fewest weighted errors; (score, accepted) rows are counted in bins first.
+    """The score that parts accepted from rejected URLs with the fewest weighted errors, in the middle of its gap; (score, accepted) rows are counted in bins first.
 
     One row of at most a few thousand bins is brought to the driver.
     """
@@ -98,10 +98,11 @@ def threshold(scores: DataFrame) -> float:
         .agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("b")).orderBy("bin").collect()
     )
     all_a, all_b = max(1, sum(r.a for r in bins)), max(1, sum(r.b for r in bins))
-    best, at, missed, let_in = 2.0, 0.0, 0.0, 1.0
+    best, at, missed, let_in, last = 2.0, 0.0, 0.0, 1.0, None
     for r in bins:
         if missed + let_in < best:
-            best, at = missed + let_in, r.bin - 0.005
+            best, at = missed + let_in, r.bin - 0.005 if last is None else (last + r.bin) / 2
+        last = r.bin
         missed, let_in = missed + r.a / all_a, let_in - r.b / all_b
     return float(at)
 
