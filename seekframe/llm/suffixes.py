@@ -2,8 +2,8 @@
 
 Every string of ``WIDTH`` bytes of a document has a minimizer, the smallest hash of its ``GRAM``-byte pieces, and
 neighbouring strings with one minimizer are sent on as one stretch; equal strings have equal minimizers, so all
-their occurrences meet in one bucket. A sketch keeps back stretches whose minimizer is unique, and equal
-stretches of one partition leave only that of the smallest document. In a bucket the distinct stretches are cut into
+their occurrences meet in one bucket. Documents equal to a smaller one lose all and go no further. A sketch keeps back
+windows whose smallest or whose largest piece is unique, and equal stretches of one partition leave only that of the smallest document. In a bucket the distinct stretches are cut into
 shards, each shard gets the transform of its rotations, and the transforms are merged by refining their interleave
 one symbol at a time: the refinement that reaches ``WIDTH`` symbols gives the order of all suffixes and the intervals
 with a common prefix of at least ``WIDTH``, without sorting the suffixes again. An interval's strings are removed
@@ -32,7 +32,8 @@ WIDTH, GRAM = 50, 24
 LONGEST = 64  # windows in a stretch
 SHARDS = 4
 BATCH_BYTES = 1 << 20
-FLUSH = 400_000
+FLUSH = 150_000
+ID_BITS = 26
 _BYTES = byte_values()
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -42,38 +43,79 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield (x.as_py() or "").encode()
 
 
-def stretches(text: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, minimizer): consecutive windows with one minimizer; every window is in exactly one."""
-    starts, counts, values = [], [], []
+def extremes(text: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, least, most): for every window of a text the smallest and largest hash of its pieces, chunk by chunk."""
     for at in range(0, max(0, len(text) - width + 1), CHUNK):
         part = text[at : at + CHUNK + width - 1]
-        m = mixed(window_hashes(_BYTES[np.frombuffer(part, np.uint8)], gram))
+        least = most = mixed(window_hashes(_BYTES[np.frombuffer(part, np.uint8)], gram))
         have, want = 1, width - gram + 1
         while have < want:
             step = min(have, want - have)
-            m = np.minimum(m[:-step], m[step:])
+            least, most = np.minimum(least[:-step], least[step:]), np.maximum(most[:-step], most[step:])
             have += step
-        new = np.concatenate(([True], m[1:] != m[:-1]))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
-        new |= (np.arange(len(m)) - head) % LONGEST == 0
-        s = np.flatnonzero(new)
-        starts.append(s + at)
-        counts.append(np.diff(np.append(s, len(m))))
-        values.append(m[s])
-    if not starts:
-        return np.empty(0, int), np.empty(0, int), np.empty(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(values)
+        yield at, least, most
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+
+
+def _spread(flags: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(flags, np.diff(np.append(heads, n)))
+
+
+def _keys(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return least, mixed(most, 3)
+
 
+def _first_copies(ids: np.ndarray, firsts) -> np.ndarray:
+    """False only for documents whose whole text a smaller document has."""
+    return may_repeat(mixed(ids.view(np.uint64)), firsts.value, ID_BITS)
 
-def _minimizers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for text in _texts(batch):
-        values = stretches(text)[2]
-        if len(values):
-            yield values
+
+def _pieces(firsts):
+    def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for first, text in zip(_first_copies(batch.column("id").to_numpy(), firsts), _texts(batch), strict=True):
+            if first:
+                for _, least, most in extremes(text):
+                    yield from _keys(least[_heads(least)], most[_heads(most)])
+
+    return of
+
+
+def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Twice each, as the sketch keeps what occurs at least twice."""
+    h = mixed(batch.column("id").to_numpy().view(np.uint64))
+    yield h
+    yield h
+
+
+def stretches(text: bytes, bits: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(start, windows, minimizer) of the runs of windows with one minimizer that may be repeated."""
+    starts, counts, values = [], [], []
+    for at, least, most in extremes(text):
+        a, b = _heads(least), _heads(most)
+        small, large = _keys(least[a], most[b])
+        may = _spread(may_repeat(small, bits), a, len(least)) & _spread(may_repeat(large, bits), b, len(least))
+        if not may.any():
+            continue
+        new = np.concatenate(([True], (least[1:] != least[:-1]) | (may[1:] != may[:-1])))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        new |= (np.arange(len(new)) - head) % LONGEST == 0
+        s = np.flatnonzero(new)
+        n = np.diff(np.append(s, len(new)))
+        s, n = s[may[s]], n[may[s]]
+        starts += (s + at).tolist()
+        counts += n.tolist()
+        values += least[s].view(np.int64).tolist()
+    return starts, counts, values
 
 
 #: A stretch (text) of a document with its starts; or without text, windows start .. start + n - 1 known to be removed.
 STRETCH = "minimizer long, id long, text binary, starts array<int>, n int"
+_NAMES = [c.split()[0] for c in STRETCH.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32()]
 
 
 def _stretch_rows(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
@@ -99,23 +141,27 @@ def _stretch_rows(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatc
             at += 1
         spread = int(mixed(np.array([doc ^ (start << 20)], np.int64).view(np.uint64)).view(np.int64)[0])
         rows.append((spread, doc, None, [start], n))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32()]
     columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["minimizer", "id", "text", "starts", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
-def _emit(bits):
+def _emit(bits, firsts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, bytes]] = []
         for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), _texts(batch), strict=True):
-                starts, counts, values = stretches(text)
-                some = np.flatnonzero(may_repeat(values, bits.value))
-                for value, s, n in zip(values[some].view(np.int64).tolist(), starts[some].tolist(), counts[some].tolist(), strict=True):
-                    held.append((value, doc, s, n, text[s : s + n + WIDTH - 1]))
+            ids = batch.column("id").to_numpy()
+            copies: list[tuple] = []
+            for doc, first, text in zip(ids.tolist(), _first_copies(ids, firsts), _texts(batch), strict=True):
+                if not first:
+                    if len(text) >= WIDTH:
+                        copies.append((doc, len(text) - WIDTH + 1))
+                    continue
+                held += [(value, doc, s, n, text[s : s + n + WIDTH - 1]) for s, n, value in zip(*stretches(text, bits.value), strict=True)]
                 if len(held) >= FLUSH:
                     yield from pa.Table.from_batches([_stretch_rows(held)]).to_batches(max_chunksize=20_000)
                     held = []
+            rows = [[mixed(np.array([d], np.int64).view(np.uint64)).view(np.int64)[0] for d, _ in copies], [d for d, _ in copies], [None] * len(copies), [[0]] * len(copies), [n for _, n in copies]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _KINDS, strict=True)], names=_NAMES)
         yield from pa.Table.from_batches([_stretch_rows(held)]).to_batches(max_chunksize=20_000)
 
     return run
@@ -262,8 +308,10 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame) -> DataFrame:
     """(id, start, n): the windows start .. start + n - 1 of a document (id, text) that start in a smaller one too."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_bits(docs.select("text"), _minimizers))
-    rows = docs.select("id", "text").mapInArrow(_emit(bits), STRETCH)
+    copies = docs.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("id").alias("id")).select("id")
+    firsts = spark.sparkContext.broadcast(repeated_bits(copies, _id_hashes, ID_BITS))
+    bits = spark.sparkContext.broadcast(repeated_bits(docs.select("id", "text"), _pieces(firsts)))
+    rows = docs.select("id", "text").mapInArrow(_emit(bits, firsts), STRETCH)
     return rows.repartition(partitions(spark), "minimizer").sortWithinPartitions("minimizer").mapInArrow(_buckets, GONE)
 
 
