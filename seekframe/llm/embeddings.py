@@ -10,7 +10,7 @@ own, so no task holds more than two chunks however many vectors are alike.
 
 Equal vectors of a label are one class with a count; classes are compared, copies are not expanded. Vectors that are
 null, zero, of null label, or that hold null or non-finite components link with nothing; vectors of
-different lengths neither. Ties at the threshold link. Extra columns are not read.
+different lengths neither; nor does one without an id. Ties at the threshold link. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def near_vectors(vectors: DataFrame, cosine: float) -> DataFrame:
     """(id, n_links, component) for the vectors (id, embedding, label)."""
     spark, budget = vectors.sparkSession, 2 - 2 * cosine
     rows = staged(vectors.select("id", "embedding", "label").mapInArrow(_prepared, "id long, label string, key binary, vector binary"), "vectors")
-    classes = staged(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")), "vector-classes")
+    classes = staged(rows.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")), "vector-classes")
     placed = classes.select("id", "label", "copies", "vector").mapInArrow(_placed(budget), PLACED)
     chunks = placed.groupBy("tile").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_dir, staged
 
 EPOCH = 1704067200
+NO_ID = -(1 << 63)  # stands in archives for a null page_id
 MOST_RECORDS = 4000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,6 +49,7 @@ def url_key(url):
 
 def records(pages: DataFrame) -> DataFrame:
     """(url_key, ts, page_id, record): the text of one WARC record a page, without its last line end."""
+    pages = pages.withColumn("page_id", F.coalesce("page_id", F.lit(NO_ID)))
     html = F.coalesce("html", F.lit(""))
     narrow = staged(pages.select("page_id", html.alias("html")).mapInArrow(_digests, "page_id long, digest string, n long"), "warc-digests")
     groups = narrow.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
@@ -113,7 +115,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a record: its index fields; ``intact`` is false where digest or length does not fit."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     rows = files.mapInArrow(_captures, CAPTURE.replace("url_key", "uri"))
-    return rows.withColumn("uri", url_key(F.col("uri"))).withColumnRenamed("uri", "url_key")
+    rows = rows.withColumn("uri", url_key(F.col("uri"))).withColumnRenamed("uri", "url_key")
+    for c in ("page_id", "refers_to"):
+        rows = rows.withColumn(c, F.nullif(F.col(c), F.lit(NO_ID)))
+    return rows
 
 
 class LoserTree:

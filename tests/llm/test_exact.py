@@ -147,6 +147,8 @@ def check_near(df, texts, k):
 def test_near_duplicates(docs, none, texts):
     check_near(docs, texts, 2)
     assert near_duplicates.near_duplicates(none.select(F.col("doc_id").alias("id"), "text"), 2).collect() == []
+    nobody = docs.select(F.when(F.col("doc_id") > 2, F.col("doc_id")).alias("id"), "text")
+    assert {(r.id, r.component) for r in near_duplicates.near_duplicates(nobody, 2).collect()} >= {(12, 12), (3, 3)}
 
 
 def test_near_duplicates_in_chunks(spark, monkeypatch):
@@ -181,6 +183,8 @@ def test_embeddings(spark, monkeypatch):
     got = {r.id: (r.n_links, r.component) for r in embeddings.near_vectors(df, 0.93).collect()}
     assert got == {i: (sum(i in p for p in links), comp[i]) for i in vectors} and len(links) > 20
     assert embeddings.near_vectors(df.limit(0), 0.93).collect() == []
+    nobody = spark.createDataFrame([(None, [1.0, 2.0], 1), (5, [1.0, 2.0], 1)], "id long, embedding array<float>, label int")
+    assert {(r.id, r.component) for r in embeddings.near_vectors(nobody, 0.93).collect()} >= {(5, 5)}
 
 
 def test_packing(docs, none, texts):
@@ -222,6 +226,9 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame([(i, u, h, "k") for i, (u, h) in pages.items()], "page_id long, url string, html string, digest string").repartition(3)
     warc.write(df, str(tmp_path / "w"))
     out = warc.index(warc.read(spark, str(tmp_path / "w"))).collect()
+    nobody = spark.createDataFrame([(None, "http://n/", "none")], "page_id long, url string, html string")
+    warc.write(nobody, str(tmp_path / "n"))
+    assert [(r.page_id, r.record_type) for r in warc.index(warc.read(spark, str(tmp_path / "n"))).collect()] == [(None, "response")]
     groups = {}
     for i, (_, h) in pages.items():
         groups.setdefault(h or "", []).append(i)
