@@ -67,3 +67,8 @@ def as_lines(rows: DataFrame, with_id: bool = True) -> DataFrame:
     """What a command line prints: the id in hexadecimal, then the path."""
     text = F.concat(F.lower(F.hex("doc_id")), F.lit(" "), "path") if with_id else F.col("path")
     return rows.select(text.alias("line"))
+
+
+def as_json(path: Column, state: Column) -> Column:
+    """One status line as JSON."""
+    return F.to_json(F.struct(path.alias("file"), state.alias("state")))

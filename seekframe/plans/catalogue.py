@@ -570,9 +570,39 @@ def tag_children(spark, sf_dir):
     return tree.tag_children(corpus.tags(spark, sf_dir), "Quality")
 
 
-@query("SELECT doc_id + 1 AS doc_id, 'quality/' || quality AS tag FROM labels WHERE quality = 1 AND doc_id % 3 = 0")
+@query("SELECT doc_id + 1 AS doc_id FROM labels WHERE quality = 1 AND starts_with(doc_id::VARCHAR, '42')")
 def tag_and_filename(spark, sf_dir):
-    return corpus.tags(spark, sf_dir).where("tag = 'quality/1' and (doc_id - 1) % 3 = 0").select("doc_id", "tag")
+    return search(spark, sf_dir, "tag=quality/1 AND filename:42")
+
+
+@query("SELECT doc_id + 1 AS doc_id, to_json({'file': '/' || lang || '/' || source || '/doc_' || doc_id || '.txt', 'state': CASE WHEN lang = 'es' THEN 'excluded by path' ELSE 'done' END})::VARCHAR AS json FROM documents WHERE lang IS NOT NULL")
+def status_json(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir).where("lang is not null")
+    yes, no = F.lit(True), F.lit(False)
+    states = results.status(d, yes, no, no, config.included(F.col("path"), {"/": True, "/es": False}), no, no)
+    return states.select("doc_id", results.as_json(F.col("path"), F.col("state")).alias("json"))
+
+
+@query(sql.tok("SELECT origin, array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms FROM (SELECT CASE field WHEN 'content' THEN 'content' ELSE 'filename' END AS origin, term FROM tok WHERE doc_id = 12) GROUP BY origin"))
+def forward_terms_by_origin(spark, sf_dir):
+    t = tokens(spark, sf_dir)
+    rows = index.postings(t.where("field = 'content'")).unionByName(index.postings(t.where("field = 'filename'"), "filename"))
+    return index.forward_by_origin(rows, 12).select("origin", F.array_join("terms", " ").alias("terms"))
+
+
+@query("SELECT doc_id + 1 AS doc_id, doc_id % 3 <> 0 AS known, doc_id % 7 = 0 AS queued, doc_id % 5 = 0 AS failed FROM documents")
+def membership(spark, sf_dir):
+    ids = corpus.documents(spark, sf_dir).select("doc_id").withColumn("k", F.col("doc_id") - 1)
+    empty = index.empty(spark)
+    state = empty.with_(files=ids.where("k % 3 <> 0"), queue=ids.where("k % 7 = 0"), failed=ids.where("k % 5 = 0"))
+    return index.membership(ids, state)
+
+
+@query("SELECT coalesce(a.path, b.path) AS path, a.doc_id AS index_id, b.doc_id AS found_id FROM (SELECT '/s/' || s_name AS path, CAST(s_suppkey AS BIGINT) AS doc_id FROM supplier WHERE s_suppkey % 5 <> 0) a FULL JOIN (SELECT '/s/' || s_name AS path, CAST(s_suppkey + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS doc_id FROM supplier WHERE s_suppkey % 7 <> 0) b ON a.path = b.path WHERE a.doc_id IS DISTINCT FROM b.doc_id")
+def id_differences(spark, sf_dir):
+    s = corpus.table(spark, sf_dir, "supplier").select(F.concat(F.lit("/s/"), "s_name").alias("path"), F.col("s_suppkey").alias("doc_id"))
+    found = s.where("doc_id % 7 <> 0").select("path", F.expr("doc_id + if(doc_id % 4 = 0, 1, 0)").cast("long").alias("doc_id"))
+    return maintain.id_differences(s.where("doc_id % 5 <> 0").select("path", F.col("doc_id").cast("long").alias("doc_id")), found)
 
 
 @query("SELECT doc_id + 1 AS doc_id, CASE WHEN toxic IS NULL THEN '' ELSE 'harm/' || toxic END || '|' || CASE WHEN quality IS NULL THEN '' ELSE 'quality/' || quality END AS tags FROM labels")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import EVENTS
+
 # Fixed values, in seconds: shortest and longest delay, how long a path is tracked, deadline of a rename, age of a recent write.
 SHORTEST, LONGEST, TRACKED = 5, 60, 120
 RENAME_DEADLINE = 1
@@ -17,6 +19,11 @@ PRIORITY = ("first run", "new", "modified", "attributes", "stale", "content", "u
 FLAGS = ("created", "modified", "closed", "attributes", "deleted")
 
 
+def event_stream(spark: SparkSession, folder: str, files_each: int = 100) -> DataFrame:
+    """Streaming: change events (``schema.EVENTS``) from JSON files that arrive in a folder. After an overflow or a lost folder, a scan against the known times (``sources.files.changed``) makes up for what was missed."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_each).json(folder)
+
+
 def merged_flags(events: DataFrame, window: str = "10 milliseconds") -> DataFrame:
     """One row for a path and moment with the flags that occurred in it."""
     flags = [F.bool_or(F.col("kind") == k).alias(k) for k in FLAGS]

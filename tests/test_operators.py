@@ -1,3 +1,4 @@
+import time
 from datetime import date
 
 import pandas as pd
@@ -191,3 +192,15 @@ def test_maintain_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [("/a", "new"), ("/b", "attributes")]
+
+
+def test_debounce_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"path": "/a", "kind": "created"}\n{"path": "/a", "kind": "closed"}\n{"path": "/b", "kind": "created"}\n')
+    stream = changes.debounce(changes.event_stream(spark, str(tmp_path / "in")).select("path", "ts"))
+    q = stream.writeStream.format("memory").queryName("deb").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    until = time.time() + 90
+    while time.time() < until and spark.table("deb").count() < 3:
+        time.sleep(1)
+    q.stop()
+    assert sorted((r.path, r.how) for r in spark.table("deb").collect()) == [("/a", "at once"), ("/a", "delayed"), ("/b", "at once")]
