@@ -4,9 +4,11 @@ A document's set is its distinct word shingles; documents with one and the same
 class goes on. Each of ``TREES`` sorted signature orders is a tree: classes whose first ``LEAST_DEPTH`` values
 agree share a region. A region of more than ``REGION`` classes is taken deeper, value by value, until its parts
 are small enough; parts that stay large at full depth are compared along their sorted order, neighbour blocks and the
-region's first block. Within a region the signatures tell the likely pairs, and every likely pair either is
-confirmed on the full sets or already lies within one component of confirmed links: a first round confirms
-a spanning forest of each region, a second all likely pairs between different components.
+region's first block. Within a region the signatures tell the likely pairs, of which only spanning ones are sent on: what they connect
+are families, and every link lies within one. A family's sets are shipped once and compared in tasks of at most two chunks of
+``CHUNK`` documents: pairs of different components that a finer sketch calls likely are confirmed on the full sets, the
+most alike first. Chunks are first compared with themselves and the first chunk; the other chunk pairs follow only in families that
+are then still in several components.
 
 A link needs intersection / union of at least ``SIMILARITY``. Nulls and texts without words have an empty set, are linked with
 nothing and are components of their own. Rows with one doc_id are one document. Extra columns are not read by ``near_duplicates``.
@@ -28,6 +30,7 @@ from .sketch import may_repeat, repeated_bits
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
 HASHES = TREES * DEPTH
 REGION = 1200
+CHUNK, BINS = 1000, 512
 MARGIN = 0.14  # four standard deviations of an estimate from HASHES values, about
 SIMILARITY = (80, 100)
 FOLD_BITS = 26
@@ -128,7 +131,8 @@ def _parts(tails: np.ndarray, rows: np.ndarray, depth: int) -> Iterator[np.ndarr
             yield from _parts(tails, part, depth + 1)
 
 
-def _region_pairs(ids, sizes, tails, bits, comp, spanning: bool) -> Iterator[tuple[int, int]]:
+def _region_pairs(ids, sizes, tails, bits) -> Iterator[tuple[int, int]]:
+    """Likely pairs of a region, the most alike first within a block pair."""
     for rows in _parts(tails, np.arange(len(ids)), 0):
         blocks = [rows[i : i + REGION] for i in range(0, len(rows), REGION)]
         for k, block in enumerate(blocks):
@@ -138,106 +142,147 @@ def _region_pairs(ids, sizes, tails, bits, comp, spanning: bool) -> Iterator[tup
                 if other == k:
                     keep = x < y
                     a, b, share = a[keep], b[keep], share[keep]
-                keep = comp[a] != comp[b]
-                a, b, share = a[keep], b[keep], share[keep]
-                if spanning:
-                    forest = Forest()
-                    order = np.argsort(-share, kind="stable")
-                    for i, j in zip(ids[a[order]].tolist(), ids[b[order]].tolist(), strict=True):
-                        if forest.join(i, j):
-                            yield min(i, j), max(i, j)
-                else:
-                    yield from ((min(i, j), max(i, j)) for i, j in zip(ids[a].tolist(), ids[b].tolist(), strict=True))
+                order = np.argsort(-share, kind="stable")
+                yield from zip(ids[a[order]].tolist(), ids[b[order]].tolist(), strict=True)
 
 
-def _pairs(spanning: bool):
-    """Rows come sorted by region; one region is held at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            t = pa.Table.from_batches(held)
-            if t.num_rows > 1:
-                comp = t.column("comp").to_numpy()
-                if (comp != comp[0]).any():
-                    tails = np.frombuffer(b"".join(t.column("tail").to_pylist()), ">u4").reshape(t.num_rows, -1)
-                    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-                    out.extend(_region_pairs(t.column("id").to_numpy(), t.column("n").to_numpy(), tails, bits, comp, spanning))
-            held.clear()
-
-        def rows() -> pa.RecordBatch:
-            pairs = list(dict.fromkeys(out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            region = batch.column("region").to_numpy()
-            cuts = np.flatnonzero(np.diff(region)) + 1
-            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(region)), strict=True):
-                if held and held[-1].column("region")[0].as_py() != int(region[lo]):
-                    close()
-                held.append(batch.slice(lo, hi - lo))
-            if len(out) > 200_000:
-                yield rows()
-        if held:
-            close()
-        yield rows()
-
-    return run
-
-
-def _set_of(k: int):
+def _groups_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Batches sorted by a column, as one table for each of its values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column)
+        lo = 0
+        while lo < batch.num_rows:
+            value = values[lo]
+            if held and held[-1].column(column)[0] != value:
+                yield pa.Table.from_batches(held)
+                held = []
+            same = values.slice(lo).to_numpy(zero_copy_only=False) == value.as_py()
+            n = len(same) if same.all() else int(np.argmin(same))
+            held.append(batch.slice(lo, n))
+            lo += n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _spanning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs that span what all likely pairs of the task's regions connect; one region is held at a time."""
+    forest, out = Forest(), []
+    for t in _groups_of(batches, "region"):
+        if t.num_rows > 1:
+            tails = np.frombuffer(b"".join(t.column("tail").to_pylist()), ">u4").reshape(t.num_rows, -1)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            out += [(i, j) for i, j in _region_pairs(t.column("id").to_numpy(), t.column("n").to_numpy(), tails, bits) if forest.join(i, j)]
+        if len(out) > 100_000 or len(forest.up) > 2_000_000:
+            yield _edge_batch(out)
+            out, forest = [], forest if len(forest.up) <= 2_000_000 else Forest()
+    yield _edge_batch(out)
+
+
+def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Twice each, as the sketch keeps what occurs at least twice."""
+    h = mixed(batch.column("id").to_numpy().view(np.uint64))
+    yield h
+    yield h
+
+
+def _sets_of(k: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            some = may_repeat(mixed(batch.column("id").to_numpy().view(np.uint64)), bits.value, FOLD_BITS)
+            batch = batch.filter(pa.array(some))
             sets = pa.array([shingles(x.as_py(), k).tobytes() for x in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "grams"])
 
     return run
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links among the pairs of one class with its partners, on full sets."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-            a, b = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both * SIMILARITY[1] >= (len(a) + len(b) - both) * SIMILARITY[0])
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_confirm, "a long, b long")
+def binned(grams: np.ndarray) -> np.ndarray:
+    """One-permutation sketch: a byte of the smallest hash in each of ``BINS`` ranges, 0 where there is none."""
+    at = (grams >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros(BINS, np.uint8)
+    out[at[first]] = (grams[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def _chunk_links(t: pa.Table) -> list[tuple[int, int]]:
+    """Links, confirmed on full sets, that connect different components among the task's documents."""
+    ids, comp, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("grams")]
+    bins = np.stack([binned(s) for s in sets])
+    n = np.array([len(s) for s in sets])
+    both = t.column("pair")[0].as_py()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if both else (np.arange(len(ids)),) * 2
+    need, b = SIMILARITY[0] / SIMILARITY[1], bins[right]
+    found = []
+    for i in left:
+        any_bin = ((bins[i] > 0) | (b > 0)).sum(1)
+        share = ((bins[i] == b) & (b > 0)).sum(1) / any_bin
+        ok = (share >= need - 4 * np.sqrt(need * (1 - need) / any_bin)) & (comp[i] != comp[right])
+        ok &= np.minimum(n[i], n[right]) * SIMILARITY[1] >= np.maximum(n[i], n[right]) * SIMILARITY[0]
+        if not both:
+            ok &= right > i
+        j = np.flatnonzero(ok)
+        found.append((share[j], np.full(len(j), i), right[j]))
+    share, x, y = (np.concatenate([f[c] for f in found]) for c in range(3))
+    order = np.argsort(-share, kind="stable")
+    forest, links = Forest(), []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        if forest.root(int(comp[i])) == forest.root(int(comp[j])):
+            continue
+        a, c = sets[i], sets[j]
+        shared = len(np.intersect1d(a, c, assume_unique=True))
+        if shared * SIMILARITY[1] >= (len(a) + len(c) - shared) * SIMILARITY[0]:
+            forest.join(int(comp[i]), int(comp[j]))
+            links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _groups_of(batches, "task"):
+        if t.num_rows > 1 and t.column("pair")[0].as_py() == (len(np.unique(t.column("side").to_numpy())) == 2):
+            yield _edge_batch(_chunk_links(t))
+
+
+def _links(rows: DataFrame, others) -> DataFrame:
+    """Links among the documents (family, chunks, own, id, comp, grams), chunk against the chunks in ``others``."""
+    n = partitions(rows.sparkSession)
+    tasks = rows.withColumn("other", F.explode(others)).select(
+        F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("pair"), "id", "comp", "grams",
+    )
+    return staged(tasks.repartition(n, "task").sortWithinPartitions("task", "id").mapInArrow(_confirmed, "a long, b long"), "minhash-links")
 
 
 def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, component) for the documents (id, text); the component is the smallest id reachable by links."""
     spark = docs.sparkSession
     sets = staged(docs.select("id", "text").mapInArrow(_sets(k), "id long, n long, k1 long, k2 long, sign binary"), "minhash-sets")
-    some = sets.where("n > 0")
+    some = sets.where("n > 0 and id is not null")
     classes = staged(some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sign").alias("sign")), "minhash-classes")
     bits = spark.sparkContext.broadcast(repeated_bits(classes.select("sign"), _tree_keys, FOLD_BITS))
     regions = classes.select("id", "n", "sign").mapInArrow(_branches(bits), REGIONS)
-    regions = staged(regions.repartition(partitions(spark), "region").sortWithinPartitions("region"), "minhash-regions")
-
-    def paired(comp: DataFrame | None, spanning: bool) -> DataFrame:
-        rows = regions.withColumn("comp", F.col("id")) if comp is None else regions.join(comp.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        rows = rows.select("region", "id", "n", "tail", "bits", "comp").repartition(partitions(spark), "region").sortWithinPartitions("region", "id")
-        return staged(rows.mapInArrow(_pairs(spanning), "a long, b long").distinct(), "minhash-pairs")
-
-    first = paired(None, True)
-    wanted = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
-    grams = staged(docs.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_set_of(k), "id long, grams binary"), "minhash-grams")
-    links = staged(_links(first, grams), "minhash-links")
-    second = paired(staged(components(links), "minhash-components"), False)
-    links = links.unionByName(_links(second, grams))
-    found = components(links)
+    pairs = regions.repartition(partitions(spark), "region").sortWithinPartitions("region", "id").mapInArrow(_spanning_pairs, "a long, b long")
+    # families: whatever likely pairs connect; every link lies within one
+    families = staged(components(pairs).withColumnRenamed("component", "family"), "minhash-families")
+    wanted = spark.sparkContext.broadcast(repeated_bits(families.select("id"), _id_hashes, FOLD_BITS))
+    grams = docs.where("id is not null").select("id", "text").mapInArrow(_sets_of(k, wanted), "id long, grams binary").dropDuplicates(["id"])
+    chunks = families.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    placed = families.join(chunks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    placed = staged(placed.join(grams, "id").withColumn("comp", F.col("id")), "minhash-grams")
+    links = _links(placed, F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0), F.col("own"))))
+    found = staged(components(links), "minhash-components")
+    large = placed.where("chunks > 2").drop("comp").join(found.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = large.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
+    rest = staged(open_, "minhash-open")
+    if not rest.isEmpty():
+        others = F.filter(F.sequence(F.lit(1), F.col("chunks") - 1), lambda c: (c != F.col("own")) & (F.col("own") > 0))
+        more = _links(large.join(rest, "family", "left_semi"), others)
+        found = staged(components(links.unionByName(more)), "minhash-components")
     members = sets.join(classes.select("k1", "k2", F.col("id").alias("class")), ["k1", "k2"], "left")
     members = members.withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")))
     return members.join(found.withColumnRenamed("id", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("component"))
