@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions, staged
+
 ORDER = 4
 STRENGTH = 2.0
 ALPHABET = 256.0
@@ -71,9 +73,14 @@ def ratios(wanted: DataFrame, counted: DataFrame, order: int = ORDER) -> DataFra
     """
     parts = F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.struct(k.alias("k"), F.substr("g", F.lit(order + 2) - k, k).alias("gram")))
     steps = wanted.select("g", F.explode(parts).alias("p")).select("g", "p.k", "p.gram", F.expr("left(p.gram, p.k - 1)").alias("context"))
-    # left() of a string that ends in the context: contexts are n-grams without their last character
+    # all single characters have the empty context: its counts are two numbers, and their keys are spread instead of joined
+    total = counted.where(F.char_length("gram") == 1).agg(F.sum("n_a").alias("a"), F.sum("n_b").alias("b")).first()
+    steps = steps.withColumn("context", F.when(F.col("k") == 1, F.concat(F.lit("\0"), "g")).otherwise(F.col("context")))
     contexts = counted.groupBy(F.expr("left(gram, char_length(gram) - 1)").alias("context"), F.char_length("gram").alias("k")).agg(F.sum("n_a").alias("c_a"), F.sum("n_b").alias("c_b"))
-    filled = steps.join(counted, "gram", "left").join(contexts, ["context", "k"], "left").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "c_a", "c_b")]))).alias("steps"))
+    filled = steps.join(counted, "gram", "left").join(contexts.where("k > 1"), ["context", "k"], "left")
+    for c, n in (("c_a", total.a), ("c_b", total.b)):
+        filled = filled.withColumn(c, F.when(F.col("k") == 1, F.lit(n or 0).cast("long")).otherwise(F.col(c)))
+    filled = filled.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "c_a", "c_b")]))).alias("steps"))
 
     def p(n: str, c: str) -> Column:
         return F.aggregate("steps", F.lit(1.0 / ALPHABET), lambda acc, s: (s[n] + STRENGTH * acc) / (s[c] + STRENGTH))
@@ -83,8 +90,9 @@ def ratios(wanted: DataFrame, counted: DataFrame, order: int = ORDER) -> DataFra
 
 def scored(urls: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """(url, score) for the distinct ``urls``: the log-likelihood difference divided by the length."""
+    urls = urls.repartition(partitions(urls.sparkSession), "url")  # a few MB of URLs are many n-grams
     pieces = urls.select("url", F.explode(grams(F.col("url"), order)).alias("g")).groupBy("url", "g").agg(F.count("*").alias("n"))
-    table = ratios(pieces.select("g").distinct(), model(labelled, order), order)
+    table = ratios(pieces.select("g").distinct(), staged(model(labelled, order), "url-model"), order)
     return pieces.join(table, "g").groupBy("url").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
 
 
@@ -108,8 +116,6 @@ def threshold(scores: DataFrame) -> float:
 
 
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
-    from .common import staged
-
     seen = pages.select("page_id", "url").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("by", rule(F.col("host"), F.col("path"), rules))
     labelled = seen.where("by is not null").select("url", (F.col("by.verdict") == "allow").alias("accepted")).distinct()
     scores = staged(scored(seen.where("url is not null and url <> ''").select("url").distinct(), labelled, order), "url-scores")
