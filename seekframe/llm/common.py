@@ -11,7 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIR: list[str] = []
 
 
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` texts in an Arrow batch: what a Python worker holds of long texts at once follows from it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

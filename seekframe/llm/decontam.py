@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import short_batches, staged
 from .url_filter import LOWER, UPPER
 
 SPAN = 10
@@ -135,6 +135,7 @@ def op5(spark, sf_dir):
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a benchmark passage stay."""
+    short_batches(spark)
     from .common import table
 
     narrow = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")

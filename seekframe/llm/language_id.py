@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 SYMBOLS = 64
 DIMENSIONS = 256
 SEED = 20240229
@@ -139,6 +141,7 @@ def op1(spark, sf_dir):
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str, least: float = 0.05) -> DataFrame:
     """Pipeline stage: drops documents without a language (no letters, or no prototype anywhere near)."""
+    short_batches(spark)
     langs, vectors = prototypes(docs.where(~held_out()))
     names = docs.columns
     return identify(docs, langs, vectors, names).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)

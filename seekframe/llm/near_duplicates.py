@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, staged, window_hashes, word_hashes
+from .common import mixed, partitions, short_batches, staged, window_hashes, word_hashes
 from .graph import Forest, components
 from .sketch import may_repeat, repeated_bits
 
@@ -297,6 +297,7 @@ def op8(spark, sf_dir):
 
 def keep_one(spark, docs: DataFrame, sf_dir: str, k: int = 5) -> DataFrame:
     """Pipeline stage: of every group of near copies (five-word shingles) the smallest doc_id stays."""
+    short_batches(spark)
     found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"), k)
     gone = staged(found.where("id <> component").select(F.col("id").alias("doc_id")), "minhash-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import short_batches
+
 WINDOW = 2048
 END = 1
 BLOCK_TOKENS = 8_000_000
@@ -257,6 +259,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
                 yield packer.take()
         packer.finish()
         yield packer.take()
+        words.known = {}  # workers are used again by other operators
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -274,4 +277,5 @@ def op9(spark, sf_dir):
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return pack(docs, vocabulary_path())
