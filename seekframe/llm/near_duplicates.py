@@ -3,8 +3,7 @@
 A document's set is its distinct word shingles; documents with one and the same set are one class, and only the
 class goes on. Each of ``TREES`` sorted signature orders is a tree: classes whose first ``LEAST_DEPTH`` values
 agree share a region. A region of more than ``REGION`` classes is taken deeper, value by value, until its parts
-are small enough; parts that stay large at full depth are compared along their sorted order, neighbour blocks and the
-region's first block. Within a region the signatures tell the likely pairs, of which only spanning ones are sent on: what they connect
+are small enough; parts that stay large at full depth are compared whole, block by block. Within a region the signatures tell the likely pairs, of which only spanning ones are sent on: what they connect
 are families, and every link lies within one. A family's sets are shipped once and compared in tasks of at most two chunks of
 ``CHUNK`` documents: pairs of different components that a finer sketch calls likely are confirmed on the full sets, the
 most alike first. Chunks are first compared with themselves and the first chunk; the other chunk pairs follow only in families that
@@ -136,7 +135,7 @@ def _region_pairs(ids, sizes, tails, bits) -> Iterator[tuple[int, int]]:
     for rows in _parts(tails, np.arange(len(ids)), 0):
         blocks = [rows[i : i + REGION] for i in range(0, len(rows), REGION)]
         for k, block in enumerate(blocks):
-            for other in {0, k - 1, k} if k else {0}:
+            for other in range(k + 1):
                 x, y, share = _alike(bits[block], bits[blocks[other]], sizes[block], sizes[blocks[other]])
                 a, b = block[x.astype(int)], blocks[other][y.astype(int)]
                 if other == k:

@@ -168,6 +168,15 @@ def test_near_duplicates_in_chunks(spark, monkeypatch):
     assert len(check_near(df, texts, 2)) > 50
 
 
+def test_near_duplicates_far_apart_in_a_region(monkeypatch):
+    """One signature order shared by all to the full depth; the like pair stands blocks apart."""
+    monkeypatch.setattr(near_duplicates, "REGION", 4)
+    bits = np.random.default_rng(6).integers(0, 256, (40, near_duplicates.HASHES), dtype=np.uint8)
+    bits[33] = bits[9]
+    pairs = near_duplicates._region_pairs(np.arange(40), np.full(40, 10), np.zeros((40, 2), ">u4"), bits)
+    assert [sorted(p) for p in pairs] == [[9, 33]]
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CHUNK", 8)
     rng = np.random.default_rng(4)
