@@ -2,8 +2,9 @@
 
 A document's set is its distinct word shingles; documents with one and the same set are one class, and only the
 class goes on. Each of ``TREES`` sorted signature orders is a tree: classes whose first ``LEAST_DEPTH`` values
-agree share a region. A region of more than ``REGION`` classes is taken deeper, value by value, until its parts
-are small enough; parts that stay large at full depth are compared whole, block by block. Within a region the signatures tell the likely pairs, of which only spanning ones are sent on: what they connect
+agree share a region. Counts of the first values, taken before anything is shipped, say where a region has more than ``REGION``
+classes; it is then taken deeper, value by value, until its parts are small enough. What stays large at full depth is dealt to
+tasks of two blocks: first each block with itself and the first one, then, unless the region is one component, all the others. Within a region the signatures tell the likely pairs, of which only spanning ones are sent on: what they connect
 are families, and every link lies within one. A family's sets are shipped once and compared in tasks of at most two chunks of
 ``CHUNK`` documents: pairs of different components that a finer sketch calls likely are confirmed on the full sets, the
 most alike first. Chunks are first compared with themselves and the first chunk; the other chunk pairs follow only in families that
@@ -72,36 +73,67 @@ def _sets(k: int):
 
 
 def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (class, hash) and for every tree the hash of its first values (class, tree)."""
+    """Signatures (class, hash) and for every depth from the least and every tree the hash of its first values (depth, class, tree)."""
     signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), "<u4").reshape(-1, HASHES)
-    heads = signs.reshape(-1, TREES, DEPTH)[:, :, :LEAST_DEPTH].astype(np.uint64)
+    heads = signs.reshape(-1, TREES, DEPTH).astype(np.uint64)
     key = np.broadcast_to(np.arange(TREES, dtype=np.uint64), heads.shape[:2]).copy()
-    for d in range(LEAST_DEPTH):
+    keys = []
+    for d in range(DEPTH):
         key = mixed(key ^ heads[:, :, d], d + 1)
-    return signs, key
+        keys.append(key)
+    return signs, np.stack(keys[LEAST_DEPTH - 1 :])
 
 
 def _tree_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield _prefixes(batch)[1].ravel()
+    yield _prefixes(batch)[1][0].ravel()
 
 
-REGIONS = "region long, id long, n long, tail binary, bits binary"
+PREFIXES = [f"p{d}" for d in range(LEAST_DEPTH, DEPTH + 1)]
+BRANCHES = f"{', '.join(f'{p} long' for p in PREFIXES)}, id long"
+REGIONS = f"{BRANCHES}, n long, bits binary"
 
 
-def _branches(bits):
+def _branches(bits, wide: bool):
+    """A class's row in every tree where its first values may be shared; the narrow rows leave out size and signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signs, keys = _prefixes(batch)
-            ids, sizes = batch.column("id").to_numpy(), batch.column("n").to_numpy()
-            who, tree = np.nonzero(may_repeat(keys.ravel(), bits.value, FOLD_BITS).reshape(keys.shape))
-            tails = np.ascontiguousarray(signs.reshape(-1, TREES, DEPTH)[who, tree, LEAST_DEPTH:].astype(">u4"))
-            low = (signs & 255).astype(np.uint8)
-            columns = [pa.array(keys[who, tree].view(np.int64)), pa.array(ids[who]), pa.array(sizes[who]), pa.array([t.tobytes() for t in tails], pa.binary()), pa.array([low[w].tobytes() for w in who], pa.binary())]
-            yield from pa.Table.from_arrays(columns, names=[c.split()[0] for c in REGIONS.split(", ")]).to_batches(max_chunksize=20_000)
+            ids = batch.column("id").to_numpy()
+            who, tree = np.nonzero(may_repeat(keys[0].ravel(), bits.value, FOLD_BITS).reshape(keys.shape[1:]))
+            columns = [*(pa.array(k[who, tree].view(np.int64)) for k in keys), pa.array(ids[who])]
+            if wide:
+                low = (signs & 255).astype(np.uint8)
+                columns += [pa.array(batch.column("n").to_numpy()[who]), pa.array([low[w].tobytes() for w in who], pa.binary())]
+            yield from pa.Table.from_arrays(columns, names=[c.split()[0] for c in (REGIONS if wide else BRANCHES).split(", ")]).to_batches(max_chunksize=20_000)
 
     return run
 
 
+def _large_prefixes(narrow: DataFrame) -> list[DataFrame]:
+    """For every depth the prefixes (value, count) of more than ``REGION`` classes; a deeper one lies within those before it."""
+    found, rows = [], narrow
+    for p in PREFIXES:
+        found.append(staged(rows.groupBy(p).agg(F.count("*").alias(f"n_{p}")).where(F.col(f"n_{p}") > REGION), "minhash-large"))
+        if found[-1].isEmpty():
+            break
+        rows = rows.join(found[-1].select(p), p, "left_semi")
+    return found
+
+
+def _placed(rows: DataFrame, large: list[DataFrame]) -> DataFrame:
+    """(region, blocks, own, id, n, bits): every row in the shallowest region of at most ``REGION`` rows. Regions
+    above that at full depth have blocks of about ``REGION`` rows, of which a row has its own."""
+    region = F.col(PREFIXES[min(len(large), len(PREFIXES)) - 1])
+    for p, counts in zip(PREFIXES, large, strict=False):
+        rows = rows.join(counts, p, "left")
+    for p in reversed(PREFIXES[: len(large)]):
+        region = F.when(F.col(f"n_{p}").isNull(), F.col(p)).otherwise(region)
+    blocks = F.ceil(F.coalesce(f"n_{PREFIXES[-1]}", F.lit(1)) / REGION).cast("int") if len(large) == len(PREFIXES) else F.lit(1)
+    rows = rows.select(region.alias("region"), blocks.alias("blocks"), "id", "n", "bits")
+    return rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
 def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs whose sizes allow a link and whose signatures (low bytes) make it likely, with the estimates."""
     need = SIMILARITY[0] / SIMILARITY[1]
@@ -118,31 +150,17 @@ def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tupl
     return tuple(np.concatenate([f[c] for f in found]) if found else np.empty(0) for c in range(3))
 
 
-def _parts(tails: np.ndarray, rows: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """Adaptive depth: a region's rows, split by further signature values while they are too many."""
-    if len(rows) <= REGION or depth >= tails.shape[1]:
-        yield rows[np.lexsort(tails[rows].T[::-1])]
-        return
-    _, where, n = np.unique(tails[rows, depth], return_inverse=True, return_counts=True)
-    order = np.argsort(where, kind="stable")
-    for part in np.split(rows[order], np.cumsum(n)[:-1]):
-        if len(part) > 1:
-            yield from _parts(tails, part, depth + 1)
-
-
-def _region_pairs(ids, sizes, tails, bits) -> Iterator[tuple[int, int]]:
-    """Likely pairs of a region, the most alike first within a block pair."""
-    for rows in _parts(tails, np.arange(len(ids)), 0):
-        blocks = [rows[i : i + REGION] for i in range(0, len(rows), REGION)]
-        for k, block in enumerate(blocks):
-            for other in range(k + 1):
-                x, y, share = _alike(bits[block], bits[blocks[other]], sizes[block], sizes[blocks[other]])
-                a, b = block[x.astype(int)], blocks[other][y.astype(int)]
-                if other == k:
-                    keep = x < y
-                    a, b, share = a[keep], b[keep], share[keep]
-                order = np.argsort(-share, kind="stable")
-                yield from zip(ids[a[order]].tolist(), ids[b[order]].tolist(), strict=True)
+def _region_pairs(ids, sizes, bits, side) -> Iterator[tuple[int, int]]:
+    """Likely pairs of a task, the most alike first: among its rows, or where it has two blocks, across them."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    across = len(right) > 0
+    right = right if across else left
+    x, y, share = _alike(bits[left], bits[right], sizes[left], sizes[right])
+    a, b = left[x.astype(int)], right[y.astype(int)]
+    if not across:
+        a, b, share = a[a < b], b[a < b], share[a < b]
+    order = np.argsort(-share, kind="stable")
+    yield from zip(ids[a[order]].tolist(), ids[b[order]].tolist(), strict=True)
 
 
 def _groups_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -169,19 +187,54 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _spanning_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs that span what all likely pairs of the task's regions connect; one region is held at a time."""
+    """Likely pairs that span what all likely pairs of the partition's tasks connect; one task is held at a time."""
     forest, out = Forest(), []
-    for t in _groups_of(batches, "region"):
-        if t.num_rows > 1:
-            tails = np.frombuffer(b"".join(t.column("tail").to_pylist()), ">u4").reshape(t.num_rows, -1)
+    for t in _groups_of(batches, "task"):
+        side = t.column("side").to_numpy()
+        if t.num_rows > 1 and t.column("pair")[0].as_py() == (len(np.unique(side)) == 2):
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            out += [(i, j) for i, j in _region_pairs(t.column("id").to_numpy(), t.column("n").to_numpy(), tails, bits) if forest.join(i, j)]
+            out += [(i, j) for i, j in _region_pairs(t.column("id").to_numpy(), t.column("n").to_numpy(), bits, side) if forest.join(i, j)]
         if len(out) > 100_000 or len(forest.up) > 2_000_000:
             yield _edge_batch(out)
             out, forest = [], forest if len(forest.up) <= 2_000_000 else Forest()
     yield _edge_batch(out)
 
 
+def _first_others(parts):
+    """The first part meets all, another itself and the first."""
+    return F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col(parts) - 1)).otherwise(F.array(F.lit(0), F.col("own")))
+
+
+def _other_others(parts):
+    """What ``_first_others`` leaves."""
+    return F.filter(F.sequence(F.lit(1), F.col(parts) - 1), lambda c: (c != F.col("own")) & (F.col("own") > 0))
+
+
+def _likely(rows: DataFrame, others) -> DataFrame:
+    """Likely pairs of the rows (region, own, id, n, bits), block against the blocks in ``others``."""
+    tasks = rows.withColumn("other", F.explode(others)).select(
+        F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("pair"), "id", "n", "bits",
+    )
+    return staged(tasks.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "id").mapInArrow(_spanning_pairs, "a long, b long"), "minhash-likely")
+
+
+def _likely_pairs(classes: DataFrame, bits) -> DataFrame:
+    """(a, b): pairs that connect what the likely pairs of all regions connect."""
+    narrow, rows = (classes.select("id", "n", "sign").mapInArrow(_branches(bits, wide), REGIONS if wide else BRANCHES) for wide in (False, True))
+    large = _large_prefixes(narrow)
+    placed = _placed(rows, large)
+    pairs = _likely(placed, _first_others("blocks"))
+    if len(large) == len(PREFIXES) and not large[-1].isEmpty():
+        # regions of several blocks that are not yet one component: all other block pairs
+        full = staged(placed.where("blocks > 2"), "minhash-blocks")
+        comp = components(pairs)
+        open_ = full.select("region", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = staged(open_.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region"), "minhash-open")
+        if not open_.isEmpty():
+            pairs = pairs.unionByName(_likely(full.join(open_, "region", "left_semi"), _other_others("blocks")))
+    return pairs
+
+
 def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """Twice each, as the sketch keeps what occurs at least twice."""
     h = mixed(batch.column("id").to_numpy().view(np.uint64))
@@ -264,8 +317,7 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     some = sets.where("n > 0 and id is not null")
     classes = staged(some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sign").alias("sign")), "minhash-classes")
     bits = spark.sparkContext.broadcast(repeated_bits(classes.select("sign"), _tree_keys, FOLD_BITS))
-    regions = classes.select("id", "n", "sign").mapInArrow(_branches(bits), REGIONS)
-    pairs = regions.repartition(partitions(spark), "region").sortWithinPartitions("region", "id").mapInArrow(_spanning_pairs, "a long, b long")
+    pairs = _likely_pairs(classes, bits)
     # families: whatever likely pairs connect; every link lies within one
     families = staged(components(pairs).withColumnRenamed("component", "family"), "minhash-families")
     wanted = spark.sparkContext.broadcast(repeated_bits(families.select("id"), _id_hashes, FOLD_BITS))
@@ -273,14 +325,13 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     chunks = families.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     placed = families.join(chunks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     placed = staged(placed.join(grams, "id").withColumn("comp", F.col("id")), "minhash-grams")
-    links = _links(placed, F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0), F.col("own"))))
+    links = _links(placed, _first_others("chunks"))
     found = staged(components(links), "minhash-components")
     large = placed.where("chunks > 2").drop("comp").join(found.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = large.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
     rest = staged(open_, "minhash-open")
     if not rest.isEmpty():
-        others = F.filter(F.sequence(F.lit(1), F.col("chunks") - 1), lambda c: (c != F.col("own")) & (F.col("own") > 0))
-        more = _links(large.join(rest, "family", "left_semi"), others)
+        more = _links(large.join(rest, "family", "left_semi"), _other_others("chunks"))
         found = staged(components(links.unionByName(more)), "minhash-components")
     members = sets.join(classes.select("k1", "k2", F.col("id").alias("class")), ["k1", "k2"], "left")
     members = members.withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")))

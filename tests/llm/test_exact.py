@@ -168,13 +168,20 @@ def test_near_duplicates_in_chunks(spark, monkeypatch):
     assert len(check_near(df, texts, 2)) > 50
 
 
-def test_near_duplicates_far_apart_in_a_region(monkeypatch):
-    """One signature order shared by all to the full depth; the like pair stands blocks apart."""
+def test_near_duplicates_far_apart_in_a_region(spark, monkeypatch):
+    """One signature order shared by all to the full depth, and no other; the like pairs stand blocks apart."""
     monkeypatch.setattr(near_duplicates, "REGION", 4)
-    bits = np.random.default_rng(6).integers(0, 256, (40, near_duplicates.HASHES), dtype=np.uint8)
-    bits[33] = bits[9]
-    pairs = near_duplicates._region_pairs(np.arange(40), np.full(40, 10), np.zeros((40, 2), ">u4"), bits)
-    assert [sorted(p) for p in pairs] == [[9, 33]]
+    rng = np.random.default_rng(6)
+    low = rng.integers(0, 256, (40, near_duplicates.HASHES)).astype("<u4")
+    low[33], low[25] = low[9], low[14]
+    signs = low + (np.arange(1, 41, dtype="<u4")[:, None] << np.uint32(8))
+    signs[:, : near_duplicates.DEPTH] = 7
+    classes = spark.createDataFrame([(i, 10, bytearray(s.tobytes())) for i, s in enumerate(signs)], "id long, n long, sign binary").repartition(3)
+    bits = spark.sparkContext.broadcast(sketch.repeated_bits(classes.select("sign"), near_duplicates._tree_keys, near_duplicates.FOLD_BITS))
+    assert sorted(sorted(p) for p in near_duplicates._likely_pairs(classes, bits).collect()) == [[9, 33], [14, 25]]
+    rows = classes.mapInArrow(near_duplicates._branches(bits, True), near_duplicates.REGIONS)
+    tasks = near_duplicates._placed(rows, near_duplicates._large_prefixes(rows.select(*near_duplicates.PREFIXES, "id")))
+    assert max(r["count"] for r in tasks.groupBy("region", "own").count().collect()) < 12 and tasks.where("blocks = 10").count() == 40
 
 
 def test_embeddings(spark, monkeypatch):
