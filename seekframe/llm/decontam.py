@@ -9,7 +9,7 @@ than a window is one window of its own length; it is found by a fingerprint that
 The fingerprints and windows of the benchmark are written to the shared folder first, so that the planner knows
 their size: it broadcasts them only under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it.
 A passage that a third of all documents share costs one row for each of its windows and documents. Nulls and texts without words have no window.
-Repeated rows are judged alike; an empty benchmark contaminates nothing. Columns other than ids and texts are not read.
+Every row is judged by its own text, also where rows repeat a doc_id or have none; an empty benchmark contaminates nothing. Columns other than ids and texts are not read.
 """
 
 from __future__ import annotations
@@ -65,6 +65,11 @@ def winnowed(df: DataFrame, column: str, span: int, gram: int) -> DataFrame:
     return rolled(grams_hashed(df, column, gram), column, span - gram + 1, lambda a, b: F.least(a, b))
 
 
+def row_key() -> Column:
+    """What tells rows apart: the id and a hash of the text. Rows with one key are judged once, and alike."""
+    return F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
 def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
     """(item_id, window, n): the distinct windows of every item as arrays of words."""
     split = items.select("item_id", words(F.col("text")).alias("words")).where("size(words) > 0")
@@ -74,7 +79,7 @@ def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(key, item_id, start, n): every occurrence of an item's window in a document (key, text)."""
+    """(key, item_id, start, n): every occurrence of an item's window in a document (key, text); equal keys have equal texts."""
     spark = docs.sparkSession
     every = staged(item_windows(items, span), "decontam-windows")
     lengths = sorted(r.n for r in every.select("n").distinct().collect())  # at most ``span`` lengths
@@ -88,8 +93,9 @@ def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM)
     else:
         keyed = winnowed(keyed, "h", span, gram)
     found = keyed.select("key", F.explode(F.array_distinct("h")).alias("f")).join(marks, "f", "left_semi").select("key").distinct()
-    candidates = staged(docs.join(staged(found, "decontam-candidates"), "key", "left_semi").select("key", words(F.col("text")).alias("words")), "decontam-words")
-    parts = spark.createDataFrame([], "key long, item_id long, start long, n int, window array<string>")
+    texts = docs.join(staged(found, "decontam-candidates"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    candidates = staged(texts.select("key", words(F.col("text")).alias("words")), "decontam-words")
+    parts = spark.createDataFrame([], "key struct<id: bigint, hash: bigint>, item_id long, start long, n int, window array<string>")
     for n in lengths:
         targets = grams_hashed(hashed.where(F.col("n") == n), "h", n).select("item_id", "window", F.element_at("h", 1).alias("h"))
         at = grams_hashed(candidates.select("key", word_hashes(F.col("words")).alias("h")), "h", n).select("key", F.posexplode("h").alias("start", "h"))
@@ -117,7 +123,7 @@ def mark(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM)
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The contract's columns for every row of ``docs``."""
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")
+    keyed = docs.select("doc_id", row_key().alias("key"), "text")
     marked = staged(mark(keyed.select("key", "text"), items).drop("places"), "decontam-marked")
     none = F.sha2(F.lit("").cast("binary"), 256)
     sizes = keyed.select("doc_id", "key", n_words(F.col("text")).alias("n_words"))
@@ -138,6 +144,6 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     short_batches(spark)
     from .common import table
 
-    narrow = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")
-    marked = staged(mark(narrow, table(spark, sf_dir, "benchmark")).select("key"), "decontam-marked")
-    return docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(marked, "key", "left_anti").select(*docs.columns)
+    marked = mark(docs.select(row_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"))
+    marked = staged(marked.select(F.col("key").alias("decontam_key")), "decontam-marked")
+    return docs.withColumn("decontam_key", row_key()).join(marked, "decontam_key", "left_anti").select(*docs.columns)

@@ -346,8 +346,17 @@ def op8(spark, sf_dir):
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str, k: int = 5) -> DataFrame:
-    """Pipeline stage: of every group of near copies (five-word shingles) the smallest doc_id stays."""
+    """Pipeline stage: of every group of near copies (five-word shingles) the row of the smallest doc_id stays.
+
+    Rows are told apart by numbers of their own, as ids may be null, which stand last, or repeated.
+    """
     short_batches(spark)
-    found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"), k)
-    gone = staged(found.where("id <> component").select(F.col("id").alias("doc_id")), "minhash-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = staged(docs.withColumn("minhash_row", F.monotonically_increasing_id()), "minhash-rows")
+    found = staged(near_duplicates(rows.select(F.col("minhash_row").alias("id"), "text"), k).select("id", "component"), "minhash-found")
+    # only groups of several rows: all members but the component itself have another id
+    several = found.where("id <> component").select("component").distinct()
+    members = found.join(several, "component", "left_semi").join(rows.select(F.col("minhash_row").alias("id"), "doc_id"), "id")
+    members = staged(members.select("component", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id").alias("place")), "minhash-members")
+    first = members.groupBy("component").agg(F.min("place").alias("first"))
+    gone = staged(members.join(first, "component").where("place.id <> first.id").select(F.col("place.id").alias("minhash_row")), "minhash-gone")
+    return rows.join(gone, "minhash_row", "left_anti").select(*docs.columns)

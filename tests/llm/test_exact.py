@@ -3,10 +3,12 @@
 import hashlib
 import re
 import string
+import tempfile
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from seekframe.llm import decontam, embeddings, graph, near_duplicates, packing, pii, sketch, substrings, suffixes, url_filter, warc
@@ -109,6 +111,28 @@ def test_decontamination(spark, docs, none, texts):
     assert decontam.report(none, bench).collect() == [] and decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_without_ids(spark):
+    """Rows with null or repeated ids are judged by their own texts."""
+    leak, other, clean = "one two three four five six seven eight nine ten", "a b c d e f g h i j", "nothing of that kind is in here"
+    bench = spark.createDataFrame([(1, leak), (2, other)], "item_id long, text string")
+    rows = [(None, leak), (None, leak), (None, clean), (None, f"x {other}"), (None, None), (5, leak), (5, clean), (5, other), (6, clean)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string").repartition(3)
+    size = lambda t: len((t or "").split())
+    want = [(d, size(t), 10 * (leak in (t or "") or other in (t or "")), int(leak in (t or "") or other in (t or ""))) for d, t in rows]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items)) for r in decontam.report(df, bench).collect())
+    bench.write.parquet(path := f"{tempfile.mkdtemp(prefix='spark-')}/benchmark.parquet")
+    left = decontam.decontaminate(spark, df, path.rpartition("/")[0])
+    assert sorted(map(str, left.collect())) == sorted(str(Row(doc_id=d, text=t, key="x")) for d, t in rows if t in (clean, None))
+
+
+def test_keep_one_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text), (9, text), (4, text + " end"), (7, "a b c d e f"), (7, "g h i j k l"), (None, "m n o p q r"), (None, "m n o p q r"), (None, None), (None, None)]
+    left = near_duplicates.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    want = [(4, text + " end"), (7, "a b c d e f"), (7, "g h i j k l"), (None, "m n o p q r"), (None, None), (None, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(map(str, want))
+
+
 def components_of(links, nodes):
     up = {n: n for n in nodes}
 
