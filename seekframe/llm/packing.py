@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import short_batches
 
@@ -33,7 +33,9 @@ CACHE_WORDS = 700_000
 MARKS, DOTTED = ".,;:!?", "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+CONTRACT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+OUT_BYTES = 16 << 20
 
 
 class WordTokenizer:
@@ -168,9 +170,11 @@ class _Packer:
         self.open: list[tuple[int, int, np.ndarray, int]] = []
         self.fill = 0
         self.rows: list[tuple] = []
+        self.bytes = 0
 
     def put(self, doc, start, ids, tokens, sequence, offset) -> None:
-        self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, sequence, offset))
+        self.rows.append((doc, start, len(ids), tokens, sequence, offset, ids.tobytes()))
+        self.bytes += 4 * len(ids)
 
     def add(self, doc, ids: np.ndarray) -> None:
         n = len(ids)
@@ -240,12 +244,13 @@ class _Packer:
 
     def take(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows, strict=True)) or [()] * 7
-        self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
+        self.rows, self.bytes = [], 0
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row for each piece of a document (doc_id, text); see the module's text."""
+    """One row for each piece of a document (doc_id, text), with its token ids as little-endian 32-bit numbers; see the module's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
@@ -255,13 +260,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
                 packer.add(doc, words.ids(text.as_py() or ""))
                 if packer.held >= block_tokens:
                     packer.pack()
-            if len(packer.rows) > 50_000:
-                yield packer.take()
+                if packer.bytes > OUT_BYTES or len(packer.rows) > 50_000:
+                    yield packer.take()
         packer.finish()
         yield packer.take()
         words.known = {}  # workers are used again by other operators
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES).select(*(F.crc32("ids").alias(c) if c == "ids_crc32" else c for c in CONTRACT), "ids")
 
 
 def vocabulary_path() -> str:
@@ -273,7 +278,7 @@ def vocabulary_path() -> str:
 def op9(spark, sf_dir):
     from .common import table
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path()).select(*CONTRACT)
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -28,7 +27,8 @@ WIDTH = 20
 SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 FLUSH = 3_000_000
 NO_ID = -(1 << 63)
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RESULT = "doc_id long, n_words long, n_removed long, kept binary"
+CONTRACT = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -124,20 +124,20 @@ def _keep(width: int):
                     kept = compress(words, (~gone).tolist())
                 else:
                     kept = words
-                rows.append((doc, len(words), removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                rows.append((doc, len(words), removed, b" ".join(kept)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): words, removed words, digest of the kept text."""
+    """One row for each row of ``docs`` (doc_id, text): words, removed words, the kept text and its digest."""
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     late = later_windows(docs, width).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths"))
-    return docs.join(late, "id", "left").select("doc_id", "text", "starts", "lengths").mapInArrow(_keep(width), RESULT)
+    return docs.join(late, "id", "left").select("doc_id", "text", "starts", "lengths").mapInArrow(_keep(width), RESULT).withColumn("kept_sha256", F.sha2("kept", 256)).withColumn("kept", F.col("kept").cast("string"))
 
 
 def op10(spark, sf_dir):
     from .common import table
 
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(table(spark, sf_dir, "documents")).select(*CONTRACT)

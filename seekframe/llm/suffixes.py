@@ -16,7 +16,6 @@ document. Extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,8 @@ BATCH_BYTES = 1 << 20
 FLUSH = 150_000
 ID_BITS = 26
 _BYTES = byte_values()
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+CONTRACT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
@@ -325,19 +325,19 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = covered(len(text), starts.values.to_numpy(), lengths.values.to_numpy(), WIDTH)
                 removed, spans = int(out.sum()), int(out[0]) + int((out[1:] & ~out[:-1]).sum())
                 kept = np.frombuffer(text, np.uint8)[~out].tobytes()
-            rows.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64()] * 4 + [pa.string()]
+            rows.append((doc, len(text), removed, spans, kept))
+        kinds = [pa.int64()] * 4 + [pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): bytes, removed bytes and spans, digest of what is kept."""
+    """One row for each row of ``docs`` (doc_id, text): bytes, removed bytes and spans, what is kept and its digest."""
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     gone = repeated(docs).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths"))
-    return docs.join(gone, "id", "left").select("doc_id", "text", "starts", "lengths").mapInArrow(_keep, RESULT)
+    return docs.join(gone, "id", "left").select("doc_id", "text", "starts", "lengths").mapInArrow(_keep, RESULT).withColumn("kept_sha256", F.sha2("kept", 256))
 
 
 def op4(spark, sf_dir):
     from .common import table
 
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(table(spark, sf_dir, "documents")).select(*CONTRACT)

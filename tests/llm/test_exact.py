@@ -252,6 +252,16 @@ def test_packing(docs, none, texts):
     assert packing.pack(none, packing.vocabulary_path()).collect() == []
 
 
+def test_outputs_are_whole(docs, texts):
+    """Packed sequences hold token ids, the removals the kept text; the digests follow from them."""
+    words = packing.WordTokenizer(packing.vocabulary_path())
+    for r in packing.pack(docs, packing.vocabulary_path(), 64, 500).collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert ids.tolist() == words.ids(texts[r.doc_id] or "")[r.start : r.start + r.length].tolist() and zlib.crc32(r.ids) == r.ids_crc32
+    assert all(sha(r.kept) == r.kept_sha256 and len(r.kept.encode().split()) == r.n_words - r.n_removed for r in substrings.dedup(docs, 6).collect())
+    assert all(sha(bytes(r.kept)) == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in suffixes.dedup(docs).collect())
+
+
 def test_least_squares():
     h = np.zeros(65, np.int64)
     h[[10, 54, 20, 24]] = [5, 3, 8, 4]
