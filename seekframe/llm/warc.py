@@ -8,7 +8,8 @@ each range merges the slices of its runs with a loser tree.
 
 A null payload is empty, and empty payloads are equal payloads like others. A null URL stands as
 ``urn:page:<id>``. Control characters in a URL are percent-encoded in the archive. Equal keys keep the order of
-``page_id``. An empty table gives an empty index. Columns other than page_id, url and html are not read.
+``page_id``. Rows that repeat a page_id, or have none, are pages of their own, one record each; null stands before all
+ids, and where several rows of a payload have its largest id, each is a response. An empty table gives an empty index. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "url_key string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, offset long, intact boolean"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(x.as_py() or "").encode() for x in batch.column(1)]
-        digests = [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in payloads]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=["page_id", "digest", "n"])
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def payload_digest(sha1):
+    """A SHA-1 of 20 bytes in base 32: five hexadecimal digits are four letters."""
+    fives = [F.conv(F.substring(F.hex(sha1), 5 * g + 1, 5), 16, 10).cast("int") for g in range(8)]
+    return F.concat(*(F.substring(F.lit(BASE32), F.shiftright(five, shift).bitwiseAND(F.lit(31)) + F.lit(1), F.lit(1)) for five in fives for shift in (15, 10, 5, 0)))
 
 
 def url_key(url):
@@ -49,14 +52,14 @@ def url_key(url):
 
 def records(pages: DataFrame) -> DataFrame:
     """(url_key, ts, page_id, record): the text of one WARC record a page, without its last line end."""
-    pages = pages.withColumn("page_id", F.coalesce("page_id", F.lit(NO_ID)))
-    html = F.coalesce("html", F.lit(""))
-    narrow = staged(pages.select("page_id", html.alias("html")).mapInArrow(_digests, "page_id long, digest string, n long"), "warc-digests")
-    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = staged(narrow.join(groups, "digest").where("page_id < first").select("page_id", F.col("first").alias("refers_to")), "warc-revisits")
     url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")))
+    pages = pages.select(F.coalesce("page_id", F.lit(NO_ID)).alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    pages = pages.select("page_id", url.alias("url"), "html", F.unhex(F.sha1("html")).alias("hash"), F.octet_length("html").cast("long").alias("n"))
+    # no join is on page_id, which may be repeated: a row has its digest with it, and meets its payload's group only
+    groups = staged(pages.groupBy("hash").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "warc-groups")
     rows = (
-        pages.select("page_id", url.alias("url"), html.alias("html")).join(narrow, "page_id").join(copies, "page_id", "left")
+        pages.join(groups, "hash", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("first"), F.col("first")))
+        .withColumn("digest", payload_digest(F.col("hash")))
         .withColumn("ts", F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id") % 31536000), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     )
     revisit = F.col("refers_to").isNotNull()

@@ -293,6 +293,15 @@ def test_warc(spark, tmp_path):
     assert warc.index(warc.read(spark, str(tmp_path / "e"))).collect() == []
 
 
+def test_warc_without_ids(spark, tmp_path):
+    """Rows with null or repeated ids have one record each."""
+    rows = [(None, "http://n/", "a")] * 3 + [(None, "http://n/", "b"), (5, "http://x/", "a"), (5, "http://x/", "c"), (5, "http://y/", "c"), (6, None, "dd"), (5, "http://x/", "dd")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    out = warc.index(warc.read(spark, str(tmp_path / "w"))).collect()
+    want = [(None, 1, "revisit", 5)] * 3 + [(None, 1, "response", None), (5, 1, "response", None), (5, 1, "response", None), (5, 1, "response", None), (6, 2, "response", None), (5, 2, "revisit", 6)]
+    assert all(r.intact for r in out) and sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in out)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 8])
 def test_loser_tree(k):
     rng = np.random.default_rng(k)
