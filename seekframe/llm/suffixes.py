@@ -9,6 +9,9 @@ one symbol at a time: the refinement that reaches ``WIDTH`` symbols gives the or
 with a common prefix of at least ``WIDTH``, without sorting the suffixes again. An interval's strings are removed
 from all documents but the smallest; documents with a stretch equal to that of a smaller one lose all of it.
 
+Where a minimizer has about ``HOT`` distinct stretches or more, its windows are dealt one by one by the hash of their bytes
+instead, so that no bucket grows with the corpus; equal windows still meet, as they have one minimizer.
+
 Removal is judged on the input; strings of one document do not remove each other. Null and empty texts, and those
 shorter than ``WIDTH``, lose nothing. A null doc_id stands before all others; rows with one doc_id are one
 document. Extra columns are not read; an empty table gives an empty result.
@@ -33,6 +36,7 @@ SHARDS = 4
 BATCH_BYTES = 1 << 20
 FLUSH = 150_000
 ID_BITS = 26
+HOT, SAMPLE = 16_000, 16  # distinct stretches of a bucket that is split, and the share of documents that tells
 _BYTES = byte_values()
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 CONTRACT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -91,8 +95,9 @@ def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield h
 
 
-def stretches(text: bytes, bits: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """(start, windows, minimizer) of the runs of windows with one minimizer that may be repeated."""
+def stretches(text: bytes, bits: np.ndarray, hot: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(start, windows, key) of the runs of windows with one minimizer, their key, that may be repeated; under a minimizer
+    that is ``hot`` (sorted), every window is a run of its own, with the hash of its bytes as key."""
     starts, counts, values = [], [], []
     for at, least, most in extremes(text):
         a, b = _heads(least), _heads(most)
@@ -103,12 +108,19 @@ def stretches(text: bytes, bits: np.ndarray) -> tuple[list[int], list[int], list
         new = np.concatenate(([True], (least[1:] != least[:-1]) | (may[1:] != may[:-1])))
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         new |= (np.arange(len(new)) - head) % LONGEST == 0
+        split = _spread(np.isin(least[a], hot), a, len(least)) if len(hot) else None
+        if split is not None:
+            new |= split
         s = np.flatnonzero(new)
         n = np.diff(np.append(s, len(new)))
         s, n = s[may[s]], n[may[s]]
         starts += (s + at).tolist()
         counts += n.tolist()
-        values += least[s].view(np.int64).tolist()
+        keys = least[s]
+        if split is not None and split.any():
+            part = np.frombuffer(text[at : at + len(least) + WIDTH - 1], np.uint8)
+            keys = np.where(split[s], mixed(window_hashes(_BYTES[part], WIDTH), 5)[s], keys)
+        values += keys.view(np.int64).tolist()
     return starts, counts, values
 
 
@@ -145,7 +157,7 @@ def _stretch_rows(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
-def _emit(bits, firsts):
+def _emit(bits, firsts, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, bytes]] = []
         for batch in batches:
@@ -156,7 +168,7 @@ def _emit(bits, firsts):
                     if len(text) >= WIDTH:
                         copies.append((doc, len(text) - WIDTH + 1))
                     continue
-                held += [(value, doc, s, n, text[s : s + n + WIDTH - 1]) for s, n, value in zip(*stretches(text, bits.value), strict=True)]
+                held += [(value, doc, s, n, text[s : s + n + WIDTH - 1]) for s, n, value in zip(*stretches(text, bits.value, hot.value), strict=True)]
                 if len(held) >= FLUSH:
                     yield from pa.Table.from_batches([_stretch_rows(held)]).to_batches(max_chunksize=20_000)
                     held = []
@@ -167,6 +179,28 @@ def _emit(bits, firsts):
     return run
 
 
+def _sampled(bits, firsts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = [], []
+            for first, text in zip(_first_copies(batch.column("id").to_numpy(), firsts), _texts(batch), strict=True):
+                if first:
+                    for s, n, value in zip(*stretches(text, bits.value, np.empty(0, np.uint64)), strict=True):
+                        keys.append(value)
+                        texts.append(text[s : s + n + WIDTH - 1])
+            yield from pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], names=["minimizer", "text"]).to_batches(max_chunksize=20_000)
+
+    return run
+
+
+def hot_minimizers(docs: DataFrame, bits, firsts) -> np.ndarray:
+    """Sorted minimizers of about ``HOT`` distinct stretches or more, as a sample of the documents (id, text) tells. The
+    sample decides only how windows are dealt: whatever is hot, all windows are compared."""
+    some = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE)) == 0).select("id", "text").mapInArrow(_sampled(bits, firsts), "minimizer long, text binary")
+    counts = some.select("minimizer", F.xxhash64("text").alias("h")).distinct().groupBy("minimizer").agg(F.count("*").alias("n"))
+    return np.sort(np.array([r.minimizer for r in counts.where(F.col("n") * SAMPLE >= HOT).select("minimizer").collect()], np.int64).view(np.uint64))
+
+
 # -- Burrows-Wheeler transforms ----------------------------------------------------
 
 
@@ -311,7 +345,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     copies = docs.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("id").alias("id")).select("id")
     firsts = spark.sparkContext.broadcast(repeated_bits(copies, _id_hashes, ID_BITS))
     bits = spark.sparkContext.broadcast(repeated_bits(docs.select("id", "text"), _pieces(firsts)))
-    rows = docs.select("id", "text").mapInArrow(_emit(bits, firsts), STRETCH)
+    hot = spark.sparkContext.broadcast(hot_minimizers(docs, bits, firsts))
+    rows = docs.select("id", "text").mapInArrow(_emit(bits, firsts, hot), STRETCH)
     return rows.repartition(partitions(spark), "minimizer").sortWithinPartitions("minimizer").mapInArrow(_buckets, GONE)
 
 

@@ -63,6 +63,24 @@ def test_suffixes(docs, none, texts):
     assert suffixes.dedup(none).collect() == []
 
 
+def test_suffixes_split_large_buckets(spark, docs, texts, monkeypatch):
+    """One line with different text around it in every document: no bucket holds many distinct stretches."""
+    line, rng = "the line that very many documents share", np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    made = {100 + d: f"{word(40)}{word(1)}{line}{word(1)}{word(40)}" for d in range(300)}
+    made |= {500: made[130][5:100], 501: "y" * 30 + made[222][10:]}
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(made.items()), "doc_id long, text string")).repartition(3)
+    plain = {r.doc_id: r for r in suffixes.dedup(df).collect()}
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    monkeypatch.setattr(suffixes, "SAMPLE", 2)
+    tasks = []
+    monkeypatch.setattr(suffixes, "hot_minimizers", lambda *a, found=suffixes.hot_minimizers: tasks.append(found(*a)) or tasks[-1])
+    assert {r.doc_id: r for r in suffixes.dedup(df).collect()} == plain and len(tasks[0]) and plain[501].n_removed > 50
+    text, bits = made[130].encode(), np.full(1 << 25, 255, np.uint8)
+    _, n, keys = suffixes.stretches(text, bits, np.unique(np.concatenate([x for _, x, _ in suffixes.extremes(text)])))
+    assert set(n) == {1} and len(set(keys)) == len(keys) == len(text) - suffixes.WIDTH + 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_merged_transforms(seed):
     rng = np.random.default_rng(seed)
