@@ -36,8 +36,8 @@ def postings(tokens: DataFrame, origin: str = "content") -> DataFrame:
 
 
 def inverted_lists(tokens: DataFrame) -> DataFrame:
-    """(field, term, doc_ids): the whole list of a term in one row; for inspection, as lists grow with the corpus."""
-    return tokens.groupBy("field", "term").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    """(field, term, segment, doc_ids): the list of a term in segments of at most 4096 ids, a range of ids each."""
+    return tokens.groupBy("field", "term", F.shiftright("doc_id", 12).alias("segment")).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
 def forward_lists(tokens: DataFrame) -> DataFrame:

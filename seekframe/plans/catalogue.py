@@ -384,7 +384,8 @@ def dup_name_suffix(spark, sf_dir):
 @query(sql.tok("SELECT field, term, count(DISTINCT doc_id) AS n, min(doc_id) AS first, max(doc_id) AS last FROM tok GROUP BY field, term"))
 def inverted_lists(spark, sf_dir):
     lists = index.inverted_lists(tokens(spark, sf_dir))
-    return lists.select("field", "term", F.size("doc_ids").cast("long").alias("n"), F.element_at("doc_ids", 1).alias("first"), F.element_at("doc_ids", -1).alias("last"))
+    ends = lists.select("field", "term", F.size("doc_ids").cast("long").alias("n"), F.element_at("doc_ids", 1).alias("first"), F.element_at("doc_ids", -1).alias("last"))
+    return ends.groupBy("field", "term").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 @query(sql.tok("SELECT doc_id, field, array_to_string(list_sort(list(DISTINCT term)), ' ') AS terms FROM tok GROUP BY doc_id, field"))

@@ -204,3 +204,9 @@ def test_debounce_stream(spark, tmp_path):
         time.sleep(1)
     q.stop()
     assert sorted((r.path, r.how) for r in spark.table("deb").collect()) == [("/a", "at once"), ("/a", "delayed"), ("/b", "at once")]
+
+
+def test_inverted_lists_in_segments(spark):
+    rows = spark.range(0, 20_000, 2).selectExpr("id AS doc_id", "'text' AS field", "'a' AS term")
+    lists = index.inverted_lists(rows.union(rows)).collect()
+    assert max(len(r.doc_ids) for r in lists) <= 4096 and sorted(d for r in lists for d in r.doc_ids) == list(range(0, 20_000, 2))
