@@ -4,20 +4,44 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_OPEN: list[list[str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where the session names none, a folder of the warehouse, or on one machine a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_seekframe"
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="seekframe-"))
+    return _OWN_DIR[0]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` and reads it again; a temporary folder only where the session names none."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="seekframe-"))
-        folder = _OWN_DIR[0]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` to the shared folder and reads it again: cuts lineage, and later plans know its size."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end; results must have been written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _OPEN.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
