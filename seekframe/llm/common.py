@@ -1,15 +1,15 @@
-"""Shared helpers of the training-data operators: tables, the shared folder, hashing in numpy."""
+"""Shared helpers of the training-data operators: tables, hashing in numpy."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: list[str] = []
+from ..sources.storage import scratch, shared_dir, staged
 
+__all__ = ["scratch", "shared_dir", "staged"]
 
 BATCH_ROWS = 2000
 
@@ -26,23 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="seekframe-"))
-    return _OWN_DIR[0]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, and later plans know its size."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,33 +78,54 @@ def window_hashes(x: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
 
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-_WORD_BYTES = byte_values(SPACES)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 CHUNK = 1 << 22
+LONGEST_WORD = 1024  # bytes; longer words are told apart by a digest
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+``, in order; long texts go in chunks cut at white space."""
+def _tables(family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random 64-bit values of the bytes (0 for spaces) and odd factors of the places in a word, of their own for each family."""
+    if family not in _TABLES:
+        rng = np.random.default_rng([8191, family])
+        values, places = rng.integers(0, 1 << 64, 256, np.uint64), rng.integers(0, 1 << 64, LONGEST_WORD + 1, np.uint64) | np.uint64(1)
+        values[list(SPACES)] = 0
+        _TABLES[family] = (values, places)
+    return _TABLES[family]
+
+
+def word_hashes(text: bytes, family: int = 0) -> np.ndarray:
+    """One 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+``, in order; long texts go in chunks cut at white space.
+
+    Families are independent: each sums random values of the bytes, times random factors of their places.
+    """
     if len(text) <= CHUNK:
-        return _word_hashes(text)
+        return _word_hashes(text, family)
     found, at = [], 0
     while at < len(text):
         end = min(len(text), at + CHUNK)
         while end < len(text) and text[end] not in SPACES:
             end += 1
-        found.append(_word_hashes(text[at:end]))
+        found.append(_word_hashes(text[at:end], family))
         at = end
     return np.concatenate(found)
 
 
-def _word_hashes(text: bytes) -> np.ndarray:
+def _word_hashes(text: bytes, family: int) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
     word = ~_IS_SPACE[raw]
     starts = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = powers(len(raw))
-    return mixed(np.add.reduceat(_WORD_BYTES[raw] * up, starts) * down[starts])
+    values, places = _tables(family)
+    sizes = np.diff(np.append(starts, len(raw)))
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, sizes)
+    if sizes.max() > LONGEST_WORD:
+        np.minimum(place, LONGEST_WORD, out=place)
+    out = mixed(np.add.reduceat(values[raw[starts[0] :]] * places[place], starts - starts[0]))
+    for i in np.flatnonzero(sizes > LONGEST_WORD):
+        one = text[starts[i] : starts[i] + sizes[i]].strip(SPACES)
+        if len(one) > LONGEST_WORD:
+            out[i] = int.from_bytes(hashlib.blake2b(one, digest_size=8, salt=bytes([family])).digest(), "little")
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 ROUND = 2_000_000
+DEALS = 64
 
 
 class Forest:
@@ -56,16 +57,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges with ``m``, the least neighbour of ``u``; the edges of a hub are dealt out over ``DEALS`` tasks."""
+    dealt = edges.withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(DEALS)))
+    part = dealt.groupBy("u", "deal").agg(F.min("v").alias("m"))
+    least = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("deal").alias("deals"))
+    return dealt.join(least.select("u", "m", F.explode("deals").alias("deal")), ["u", "deal"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    near = _with_least(edges)
+    moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

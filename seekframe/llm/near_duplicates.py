@@ -5,10 +5,10 @@ class goes on. Each of ``TREES`` sorted signature orders is a tree: classes whos
 agree share a region. Counts of the first values, taken before anything is shipped, say where a region has more than ``REGION``
 classes; it is then taken deeper, value by value, until its parts are small enough. What stays large at full depth is dealt to
 tasks of two blocks: first each block with itself and the first one, then, unless the region is one component, all the others. Within a region the signatures tell the likely pairs, of which only spanning ones are sent on: what they connect
-are families, and every link lies within one. A family's sets are shipped once and compared in tasks of at most two chunks of
-``CHUNK`` documents: pairs of different components that a finer sketch calls likely are confirmed on the full sets, the
-most alike first. Chunks are first compared with themselves and the first chunk; the other chunk pairs follow only in families that
-are then still in several components.
+are families, and every link lies within one. A family's texts are shipped once and compared in tasks of at most two chunks of
+``CHUNK`` documents, which count the shingles that any two have in common exactly; the links that connect different components are then
+confirmed on the words themselves, the most alike first. Chunks are first compared with themselves and the first chunk; the other chunk
+pairs follow only in families that are then still in several components.
 
 A link needs intersection / union of at least ``SIMILARITY``. Nulls and texts without words have an empty set, are linked with
 nothing and are components of their own. Rows with one doc_id are one document. Extra columns are not read by ``near_duplicates``.
@@ -23,31 +23,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import mixed, partitions, short_batches, staged, window_hashes, word_hashes
 from .graph import Forest, components
-from .sketch import may_repeat, repeated_bits
 
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
 HASHES = TREES * DEPTH
 REGION = 1200
-CHUNK, BINS = 1000, 512
-MARGIN = 0.14  # four standard deviations of an estimate from HASHES values, about
+CHUNK, FREQUENT = 1000, 24
+MARGIN = 0.17  # five standard deviations of an estimate from HASHES values, about
 SIMILARITY = (80, 100)
-FOLD_BITS = 26
 
 _rng = np.random.default_rng(97)
 _SALTS = _rng.integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64)
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of ``k`` consecutive words, ASCII letters lowered; fewer words are one shingle."""
-    words = word_hashes((text or "").encode().lower())
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode().lower()  # of bytes, only ASCII letters
+
+
+def shingles(text: bytes, k: int, family: int = 0) -> np.ndarray:
+    """Sorted distinct hashes of ``k`` consecutive words of a lowered text; fewer words are one shingle. Families are independent."""
+    words = word_hashes(text, family)
     if not len(words):
         return words
     return np.unique(mixed(window_hashes(words, min(k, len(words)))) + np.uint64(len(words) if len(words) < k else 0))
 
 
+def word_shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The same set, of the words themselves."""
+    words = text.split()  # bytes part at exactly the six white-space characters
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+
+
 def signature(grams: np.ndarray) -> np.ndarray:
     """The minimum of every hash function over a set, 32 bits each."""
     out = np.full(HASHES, np.uint64(2**64 - 1))
@@ -62,10 +71,11 @@ def _sets(k: int):
         for batch in batches:
             n, keys, more, signs = [], [], [], []
             for x in batch.column("text"):
-                grams = shingles(x.as_py(), k)
+                text = lowered(x.as_py())
+                grams = shingles(text, k)
                 n.append(len(grams))
-                keys.append(int(mixed(grams, 1).sum(dtype=np.uint64).view(np.int64)) if len(grams) else 0)
-                more.append(int(np.bitwise_xor.reduce(mixed(grams, 2)).view(np.int64)) if len(grams) else 0)
+                keys.append(int(mixed(grams, 1).sum(dtype=np.uint64).view(np.int64)))
+                more.append(int(mixed(shingles(text, k, 1), 2).sum(dtype=np.uint64).view(np.int64)))
                 signs.append(signature(grams).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(more, pa.int64()), pa.array(signs, pa.binary())], names=["id", "n", "k1", "k2", "sign"])
 
@@ -100,7 +110,7 @@ def _branches(bits, wide: bool):
         for batch in batches:
             signs, keys = _prefixes(batch)
             ids = batch.column("id").to_numpy()
-            who, tree = np.nonzero(may_repeat(keys[0].ravel(), bits.value, FOLD_BITS).reshape(keys.shape[1:]))
+            who, tree = np.nonzero(bits.value.may(keys[0].ravel()).reshape(keys.shape[1:]))
             columns = [*(pa.array(k[who, tree].view(np.int64)) for k in keys), pa.array(ids[who])]
             if wide:
                 low = (signs & 255).astype(np.uint8)
@@ -242,72 +252,100 @@ def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield h
 
 
-def _sets_of(k: int, bits):
+def _texts_of(bits):
+    """The lowered texts of the wanted documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = may_repeat(mixed(batch.column("id").to_numpy().view(np.uint64)), bits.value, FOLD_BITS)
-            batch = batch.filter(pa.array(some))
-            sets = pa.array([shingles(x.as_py(), k).tobytes() for x in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "grams"])
+            batch = batch.filter(pa.array(bits.value.may(mixed(batch.column("id").to_numpy().view(np.uint64)))))
+            texts = pa.array([lowered(x.as_py()) for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts], names=["id", "text"])
 
     return run
 
 
-def binned(grams: np.ndarray) -> np.ndarray:
-    """One-permutation sketch: a byte of the smallest hash in each of ``BINS`` ranges, 0 where there is none."""
-    at = (grams >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.zeros(BINS, np.uint8)
-    out[at[first]] = (grams[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values every two sets of sorted distinct values have in common, by (left, right).
+
+    Values that few sets have are counted pair by pair, the others by products of 0/1 matrices.
+    """
+    out = np.zeros((len(left), len(right)), np.int32)
+    codes, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    n_left = sum(map(len, left))
+    own = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    have = [np.bincount(at[:n_left], minlength=len(codes)), np.bincount(at[n_left:], minlength=len(codes))]
+    both = (have[0] > 0) & (have[1] > 0)
+    often = both & (np.minimum(*have) > FREQUENT)
+    # the few: the i-th owner on the left with the j-th on the right
+    rows = []
+    for part, who, n in ((at[:n_left], own[0], have[0]), (at[n_left:], own[1], have[1])):
+        keep = (both & ~often)[part]
+        order = np.argsort(part[keep], kind="stable")
+        rows.append((who[keep][order], np.cumsum(np.where(both & ~often, n, 0)) - np.where(both & ~often, n, 0)))
+    few = np.flatnonzero(both & ~often)
+    for some in np.array_split(few, max(1, int((have[0][few] * have[1][few]).sum()) >> 22)):
+        sizes = have[0][some] * have[1][some]
+        each = np.repeat(np.arange(len(some)), sizes)
+        inside = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        i = rows[0][0][rows[0][1][some][each] + inside // have[1][some][each]]
+        j = rows[1][0][rows[1][1][some][each] + inside % have[1][some][each]]
+        out += np.bincount(i * len(right) + j, minlength=out.size).reshape(out.shape).astype(np.int32)
+    many = np.flatnonzero(often)
+    place = np.full(len(codes), -1)
+    for lo in range(0, len(many), 4096):
+        place[:] = -1
+        place[many[lo : lo + 4096]] = np.arange(len(many[lo : lo + 4096]))
+        sides = []
+        for part, who, n in ((at[:n_left], own[0], len(left)), (at[n_left:], own[1], len(right))):
+            dense = np.zeros((n, len(many[lo : lo + 4096])), np.float32)
+            keep = place[part] >= 0
+            dense[who[keep], place[part][keep]] = 1
+            sides.append(dense)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int32)
     return out
 
 
-def _chunk_links(t: pa.Table) -> list[tuple[int, int]]:
-    """Links, confirmed on full sets, that connect different components among the task's documents."""
+def _chunk_links(t: pa.Table, k: int) -> list[tuple[int, int]]:
+    """Links, confirmed on the words, that connect different components among the task's documents."""
     ids, comp, side = (t.column(c).to_numpy() for c in ("id", "comp", "side"))
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("grams")]
-    bins = np.stack([binned(s) for s in sets])
+    texts = [x.as_py() for x in t.column("text")]
+    sets = [shingles(x, k) for x in texts]
     n = np.array([len(s) for s in sets])
     both = t.column("pair")[0].as_py()
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if both else (np.arange(len(ids)),) * 2
-    need, b = SIMILARITY[0] / SIMILARITY[1], bins[right]
-    found = []
-    for i in left:
-        any_bin = ((bins[i] > 0) | (b > 0)).sum(1)
-        share = ((bins[i] == b) & (b > 0)).sum(1) / any_bin
-        ok = (share >= need - 4 * np.sqrt(need * (1 - need) / any_bin)) & (comp[i] != comp[right])
-        ok &= np.minimum(n[i], n[right]) * SIMILARITY[1] >= np.maximum(n[i], n[right]) * SIMILARITY[0]
-        if not both:
-            ok &= right > i
-        j = np.flatnonzero(ok)
-        found.append((share[j], np.full(len(j), i), right[j]))
-    share, x, y = (np.concatenate([f[c] for f in found]) for c in range(3))
-    order = np.argsort(-share, kind="stable")
-    forest, links = Forest(), []
-    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        if forest.root(int(comp[i])) == forest.root(int(comp[j])):
+    shared = shared_counts([sets[i] for i in left], [sets[j] for j in right]).astype(np.int64)
+    union = n[left][:, None] + n[right] - shared
+    ok = (shared * SIMILARITY[1] >= union * SIMILARITY[0]) & (comp[left][:, None] != comp[right])
+    i, j = np.nonzero(ok if both else np.triu(ok, 1))
+    order = np.argsort(-(shared[i, j] / union[i, j]), kind="stable")
+    forest, links, exact = Forest(), [], {}
+    for x, y in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
+        if forest.root(int(comp[x])) == forest.root(int(comp[y])):
             continue
-        a, c = sets[i], sets[j]
-        shared = len(np.intersect1d(a, c, assume_unique=True))
-        if shared * SIMILARITY[1] >= (len(a) + len(c) - shared) * SIMILARITY[0]:
-            forest.join(int(comp[i]), int(comp[j]))
-            links.append((int(ids[i]), int(ids[j])))
+        a, b = (exact[z] if z in exact else exact.setdefault(z, word_shingles(texts[z], k)) for z in (x, y))
+        common = len(a & b)
+        if common * SIMILARITY[1] >= (len(a) + len(b) - common) * SIMILARITY[0]:
+            forest.join(int(comp[x]), int(comp[y]))
+            links.append((int(ids[x]), int(ids[y])))
     return links
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _groups_of(batches, "task"):
-        if t.num_rows > 1 and t.column("pair")[0].as_py() == (len(np.unique(t.column("side").to_numpy())) == 2):
-            yield _edge_batch(_chunk_links(t))
+def _confirmed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups_of(batches, "task"):
+            if t.num_rows > 1 and t.column("pair")[0].as_py() == (len(np.unique(t.column("side").to_numpy())) == 2):
+                yield _edge_batch(_chunk_links(t, k))
+
+    return run
 
 
-def _links(rows: DataFrame, others) -> DataFrame:
-    """Links among the documents (family, chunks, own, id, comp, grams), chunk against the chunks in ``others``."""
+def _links(rows: DataFrame, others, k: int) -> DataFrame:
+    """Links among the documents (family, chunks, own, id, comp, text), chunk against the chunks in ``others``."""
     n = partitions(rows.sparkSession)
     tasks = rows.withColumn("other", F.explode(others)).select(
-        F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("pair"), "id", "comp", "grams",
+        F.concat_ws("/", "family", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("pair"), "id", "comp", "text",
     )
-    return staged(tasks.repartition(n, "task").sortWithinPartitions("task", "id").mapInArrow(_confirmed, "a long, b long"), "minhash-links")
+    return staged(tasks.repartition(n, "task").sortWithinPartitions("task", "id").mapInArrow(_confirmed(k), "a long, b long"), "minhash-links")
 
 
 def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
@@ -316,22 +354,22 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     sets = staged(docs.select("id", "text").mapInArrow(_sets(k), "id long, n long, k1 long, k2 long, sign binary"), "minhash-sets")
     some = sets.where("n > 0 and id is not null")
     classes = staged(some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sign").alias("sign")), "minhash-classes")
-    bits = spark.sparkContext.broadcast(repeated_bits(classes.select("sign"), _tree_keys, FOLD_BITS))
+    bits = spark.sparkContext.broadcast(sketch.repeated(classes.select("sign"), _tree_keys, TREES * classes.count()))
     pairs = _likely_pairs(classes, bits)
     # families: whatever likely pairs connect; every link lies within one
     families = staged(components(pairs).withColumnRenamed("component", "family"), "minhash-families")
-    wanted = spark.sparkContext.broadcast(repeated_bits(families.select("id"), _id_hashes, FOLD_BITS))
-    grams = docs.where("id is not null").select("id", "text").mapInArrow(_sets_of(k, wanted), "id long, grams binary").dropDuplicates(["id"])
+    wanted = spark.sparkContext.broadcast(sketch.repeated(families.select("id"), _id_hashes, families.count()))
+    texts = docs.where("id is not null").select("id", "text").mapInArrow(_texts_of(wanted), "id long, text binary").dropDuplicates(["id"])
     chunks = families.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     placed = families.join(chunks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    placed = staged(placed.join(grams, "id").withColumn("comp", F.col("id")), "minhash-grams")
-    links = _links(placed, _first_others("chunks"))
+    placed = staged(placed.join(texts, "id").withColumn("comp", F.col("id")), "minhash-texts")
+    links = _links(placed, _first_others("chunks"), k)
     found = staged(components(links), "minhash-components")
     large = placed.where("chunks > 2").drop("comp").join(found.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = large.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
     rest = staged(open_, "minhash-open")
     if not rest.isEmpty():
-        more = _links(large.join(rest, "family", "left_semi"), _other_others("chunks"))
+        more = _links(large.join(rest, "family", "left_semi"), _other_others("chunks"), k)
         found = staged(components(links.unionByName(more)), "minhash-components")
     members = sets.join(classes.select("k1", "k2", F.col("id").alias("class")), ["k1", "k2"], "left")
     members = members.withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")))

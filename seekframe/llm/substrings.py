@@ -1,9 +1,11 @@
 """Removal of repeated word passages, exact, behind a count-min prefilter.
 
-A window is ``width`` consecutive words (``[^\\x20\\x09-\\x0D]+``) of one document. The first pass sketches the
-windows of every partition; the merged sketch overestimates their counts. The second pass sends on only windows
-that may be repeated, and of those of one partition that are equal only the first, as the others are known to
-be later ones: a passage of a third of all documents is one row a partition. Windows are told apart by 128 bits of hash.
+A window is ``width`` consecutive words (``[^\\x20\\x09-\\x0D]+``) of one document. The first pass sketches, for every
+window, the half-window inside it with the smallest and the one with the largest hash, neighbouring windows mostly having
+them in common: the merged sketch overestimates how often these occur, and they occur at least as often as the
+window. The second pass sends on only windows that may be repeated, and of those of one partition that are equal only the
+first, as the others are known to be later ones: a passage of a third of all documents is one row a partition.
+Windows are told apart by two hashes of 64 bits that are made from independent hashes of the words.
 
 First means the smaller doc_id, then the smaller start. Nulls and texts without words have no window and nothing
 removed. Equal rows with one doc_id are one occurrence. A null doc_id stands before all others. Extra columns are
@@ -20,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import mixed, window_hashes, word_hashes
-from .sketch import may_repeat, repeated_bits
 
 WIDTH = 20
 SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -36,12 +38,60 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield (x.as_py() or "").encode()
 
 
+def rolling(x: np.ndarray, width: int, combine) -> np.ndarray:
+    """``combine`` over every ``width`` consecutive values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x, have = combine(x[:-step], x[step:]), have + step
+    return x
+
+
+def extremes(units: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of ``width`` units the smallest and the largest hash of its pieces of ``gram`` units."""
+    if len(units) < width:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    pieces = mixed(window_hashes(units, gram))
+    return rolling(pieces, width - gram + 1, np.minimum), rolling(pieces, width - gram + 1, np.maximum)
+
+
+def extreme_pieces(units: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces, each place once, that are the smallest in some window, and those that are the largest."""
+    pieces, n = mixed(window_hashes(units, gram)), width - gram + 1
+    out = []
+    for extreme, other, low in ((np.minimum, np.maximum, 0), (np.maximum, np.minimum, 2**64 - 1)):
+        ends = np.full(n - 1, low, np.uint64)
+        out.append(pieces[pieces == rolling(np.concatenate((ends, rolling(pieces, n, extreme), ends)), n, other)])
+    return tuple(out)
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+
+
+def spread(flags: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
+    """What holds for the runs that start at ``heads``, for each of the ``n`` values."""
+    return np.repeat(flags, np.diff(np.append(heads, n)))
+
+
+def keys(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return least, mixed(most, 3)
+
+
+def may_repeat(least: np.ndarray, most: np.ndarray, repeats: sketch.Repeats) -> np.ndarray:
+    """For every window whether both its extremes may be repeated."""
+    a, b = heads(least), heads(most)
+    small, large = keys(least[a], most[b])
+    return spread(repeats.may(small), a, len(least)) & spread(repeats.may(large), b, len(least))
+
+
 def _windows(width: int):
     def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in _texts(batch):
-            h = window_hashes(word_hashes(text), width)
-            if len(h):
-                yield mixed(h)
+            words = word_hashes(text)
+            if len(words) >= width:
+                yield from keys(*extreme_pieces(words, width, width // 2))
 
     return of
 
@@ -66,9 +116,9 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
     first = (doc == doc[head]) & (start == start[head])
     order = np.lexsort((start[~first], doc[~first]))
     late = runs(doc[~first][order], start[~first][order])
-    spread = mixed(late[0].astype(np.uint64) ^ mixed(late[1].astype(np.uint64)))
+    dealt = mixed(late[0].astype(np.uint64) ^ mixed(late[1].astype(np.uint64)))
     columns = [
-        np.concatenate((h1[first], spread)).view(np.int64), np.concatenate((h2[first], np.zeros(len(spread), np.uint64))).view(np.int64),
+        np.concatenate((h1[first], dealt)).view(np.int64), np.concatenate((h2[first], np.zeros(len(dealt), np.uint64))).view(np.int64),
         np.concatenate((doc[first], late[0])), np.concatenate((start[first], late[1])), np.concatenate((np.ones(first.sum(), np.int64), -late[2])),
     ]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -77,17 +127,18 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 
 def later_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(id, start, n): the windows start .. start + n - 1 of a document (id, text) also start earlier."""
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs.select("text"), _windows(width)))
+    # about 2 * 2 / (width / 2 + 2) keys a word, and six bytes or more a word
+    found = sketch.repeated(docs.select("text"), _windows(width), int(sketch.text_bytes(docs) * 4 / (width / 2 + 2) / 6))
+    repeats = docs.sparkSession.sparkContext.broadcast(found)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), _texts(batch), strict=True):
                 words = word_hashes(text)
-                h1 = mixed(window_hashes(words, width))
-                at = np.flatnonzero(may_repeat(h1, bits.value))
+                at = np.flatnonzero(may_repeat(*extremes(words, width, width // 2), repeats.value))
                 if len(at):
-                    h2 = window_hashes(mixed(words, 1), width, SECOND_BASE)
+                    h1, h2 = mixed(window_hashes(words, width)), window_hashes(word_hashes(text, 1), width, SECOND_BASE)
                     held.append((doc, at, h1[at], h2[at]))
                     n += len(at)
                     if n >= FLUSH:

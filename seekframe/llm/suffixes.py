@@ -26,16 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, byte_values, mixed, partitions, window_hashes
-from .sketch import may_repeat, repeated_bits
-from .substrings import NO_ID, covered, runs
+from . import sketch, substrings
+from .common import CHUNK, byte_values, mixed, partitions, staged, window_hashes
+from .substrings import NO_ID, covered, heads, keys, may_repeat, runs, spread
 
 WIDTH, GRAM = 50, 24
 LONGEST = 64  # windows in a stretch
 SHARDS = 4
 BATCH_BYTES = 1 << 20
 FLUSH = 150_000
-ID_BITS = 26
 HOT, SAMPLE = 16_000, 16  # distinct stretches of a bucket that is split, and the share of documents that tells
 _BYTES = byte_values()
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -51,31 +50,12 @@ def extremes(text: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tupl
     """(start, least, most): for every window of a text the smallest and largest hash of its pieces, chunk by chunk."""
     for at in range(0, max(0, len(text) - width + 1), CHUNK):
         part = text[at : at + CHUNK + width - 1]
-        least = most = mixed(window_hashes(_BYTES[np.frombuffer(part, np.uint8)], gram))
-        have, want = 1, width - gram + 1
-        while have < want:
-            step = min(have, want - have)
-            least, most = np.minimum(least[:-step], least[step:]), np.maximum(most[:-step], most[step:])
-            have += step
-        yield at, least, most
-
-
-def _heads(x: np.ndarray) -> np.ndarray:
-    """Where the runs of equal values start."""
-    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-
-
-def _spread(flags: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
-    return np.repeat(flags, np.diff(np.append(heads, n)))
-
-
-def _keys(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return least, mixed(most, 3)
+        yield at, *substrings.extremes(_BYTES[np.frombuffer(part, np.uint8)], width, gram)
 
 
 def _first_copies(ids: np.ndarray, firsts) -> np.ndarray:
     """False only for documents whose whole text a smaller document has."""
-    return may_repeat(mixed(ids.view(np.uint64)), firsts.value, ID_BITS)
+    return firsts.value.may(mixed(ids.view(np.uint64)))
 
 
 def _pieces(firsts):
@@ -83,7 +63,7 @@ def _pieces(firsts):
         for first, text in zip(_first_copies(batch.column("id").to_numpy(), firsts), _texts(batch), strict=True):
             if first:
                 for _, least, most in extremes(text):
-                    yield from _keys(least[_heads(least)], most[_heads(most)])
+                    yield from keys(least[heads(least)], most[heads(most)])
 
     return of
 
@@ -95,20 +75,18 @@ def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield h
 
 
-def stretches(text: bytes, bits: np.ndarray, hot: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+def stretches(text: bytes, repeats: sketch.Repeats, hot: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     """(start, windows, key) of the runs of windows with one minimizer, their key, that may be repeated; under a minimizer
     that is ``hot`` (sorted), every window is a run of its own, with the hash of its bytes as key."""
     starts, counts, values = [], [], []
     for at, least, most in extremes(text):
-        a, b = _heads(least), _heads(most)
-        small, large = _keys(least[a], most[b])
-        may = _spread(may_repeat(small, bits), a, len(least)) & _spread(may_repeat(large, bits), b, len(least))
+        may = may_repeat(least, most, repeats)
         if not may.any():
             continue
         new = np.concatenate(([True], (least[1:] != least[:-1]) | (may[1:] != may[:-1])))
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         new |= (np.arange(len(new)) - head) % LONGEST == 0
-        split = _spread(np.isin(least[a], hot), a, len(least)) if len(hot) else None
+        split = spread(np.isin(least[a := heads(least)], hot), a, len(least)) if len(hot) else None
         if split is not None:
             new |= split
         s = np.flatnonzero(new)
@@ -116,11 +94,11 @@ def stretches(text: bytes, bits: np.ndarray, hot: np.ndarray) -> tuple[list[int]
         s, n = s[may[s]], n[may[s]]
         starts += (s + at).tolist()
         counts += n.tolist()
-        keys = least[s]
+        value = least[s]
         if split is not None and split.any():
             part = np.frombuffer(text[at : at + len(least) + WIDTH - 1], np.uint8)
-            keys = np.where(split[s], mixed(window_hashes(_BYTES[part], WIDTH), 5)[s], keys)
-        values += keys.view(np.int64).tolist()
+            value = np.where(split[s], mixed(window_hashes(_BYTES[part], WIDTH), 5)[s], value)
+        values += value.view(np.int64).tolist()
     return starts, counts, values
 
 
@@ -151,8 +129,8 @@ def _stretch_rows(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatc
         while at < len(gone) and gone[at][0] == doc and gone[at][1] == start + n:
             n += gone[at][2]
             at += 1
-        spread = int(mixed(np.array([doc ^ (start << 20)], np.int64).view(np.uint64)).view(np.int64)[0])
-        rows.append((spread, doc, None, [start], n))
+        dealt = int(mixed(np.array([doc ^ (start << 20)], np.int64).view(np.uint64)).view(np.int64)[0])
+        rows.append((dealt, doc, None, [start], n))
     columns = list(zip(*rows, strict=True)) or [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
@@ -342,9 +320,10 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame) -> DataFrame:
     """(id, start, n): the windows start .. start + n - 1 of a document (id, text) that start in a smaller one too."""
     spark = docs.sparkSession
-    copies = docs.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("id").alias("id")).select("id")
-    firsts = spark.sparkContext.broadcast(repeated_bits(copies, _id_hashes, ID_BITS))
-    bits = spark.sparkContext.broadcast(repeated_bits(docs.select("id", "text"), _pieces(firsts)))
+    copies = staged(docs.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("id").alias("id")).select("id"), "first-copies")
+    firsts = spark.sparkContext.broadcast(sketch.repeated(copies, _id_hashes, copies.count()))
+    # about 2 * 2 / (WIDTH - GRAM + 2) keys a byte
+    bits = spark.sparkContext.broadcast(sketch.repeated(docs.select("id", "text"), _pieces(firsts), int(sketch.text_bytes(docs) * 4 / (WIDTH - GRAM + 2))))
     hot = spark.sparkContext.broadcast(hot_minimizers(docs, bits, firsts))
     rows = docs.select("id", "text").mapInArrow(_emit(bits, firsts, hot), STRETCH)
     return rows.repartition(partitions(spark), "minimizer").sortWithinPartitions("minimizer").mapInArrow(_buckets, GONE)

@@ -76,11 +76,28 @@ def test_suffixes_split_large_buckets(spark, docs, texts, monkeypatch):
     tasks = []
     monkeypatch.setattr(suffixes, "hot_minimizers", lambda *a, found=suffixes.hot_minimizers: tasks.append(found(*a)) or tasks[-1])
     assert {r.doc_id: r for r in suffixes.dedup(df).collect()} == plain and len(tasks[0]) and plain[501].n_removed > 50
-    text, bits = made[130].encode(), np.full(1 << 25, 255, np.uint8)
-    _, n, keys = suffixes.stretches(text, bits, np.unique(np.concatenate([x for _, x, _ in suffixes.extremes(text)])))
+    text, every = made[130].encode(), sketch.Repeats(1, 20)
+    every.set[:] = 255
+    _, n, keys = suffixes.stretches(text, every, np.unique(np.concatenate([x for _, x, _ in suffixes.extremes(text)])))
     assert set(n) == {1} and len(set(keys)) == len(keys) == len(text) - suffixes.WIDTH + 1
 
 
+def test_suffixes_of_all_documents(spark):
+    """The smallest table whole, against every string in a dictionary."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows, got, first = sorted((r.doc_id, (r.text or "").encode()) for r in df.collect()), by_id(suffixes.dedup(df)), {}
+    for d, b in rows:
+        gone, new = np.zeros(len(b), bool), set()
+        for i in range(len(b) - 49):
+            if b[i : i + 50] in first:
+                gone[i : i + 50] = True
+            else:
+                new.add(b[i : i + 50])
+        first |= dict.fromkeys(new)
+        spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(b) else 0
+        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans) == (len(b), int(gone.sum()), spans) and got[d].kept_sha256 == sha(np.frombuffer(b, np.uint8)[~gone].tobytes())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_merged_transforms(seed):
     rng = np.random.default_rng(seed)
@@ -96,14 +113,48 @@ def test_merged_transforms(seed):
     assert set(zip(owner.tolist(), offset.tolist(), strict=True)) == want
 
 
-def test_sketch_loses_nothing(spark):
+@pytest.mark.parametrize(("keys", "most"), [(5000, 22), (5000, 13), (10**9, 22)])
+def test_sketch_loses_nothing(spark, monkeypatch, keys, most):
+    """Also when it is as full as it may get; what passes besides is as many as the docstring says."""
+    monkeypatch.setattr(sketch, "MOST_BITS", most)
+    monkeypatch.setattr(sketch, "LEAST_BITS", 12)
     rng = np.random.default_rng(1)
     values = rng.integers(0, 1 << 62, 5000)
     df = spark.createDataFrame([(int(v),) for v in [*values, *values[:700]]], "id long").repartition(5)
     hashes = lambda b: iter([substrings.mixed(b.column("id").to_numpy().view(np.uint64))])
-    bits = sketch.repeated_bits(df, hashes)
-    found = sketch.may_repeat(substrings.mixed(values.view(np.uint64)), bits)
-    assert found[:700].all() and found[700:].mean() < 0.01
+    repeats = sketch.repeated(df, hashes, keys)
+    found = repeats.may(substrings.mixed(values.view(np.uint64)))
+    rows, bits = sketch.shape(keys)
+    assert found[:700].all() and found[700:].mean() == pytest.approx((1 - np.exp(-5000 / 2**bits)) ** rows, abs=0.03)
+
+
+def test_sketch_grows_with_the_keys():
+    sizes = [sketch.shape(n) for n in (10, 10**6, 10**8, 10**9, 10**11)]
+    assert [r << b for r, b in sizes] == [1 << 20, 1 << 22, 1 << 29, 1 << 31, 1 << 31] and [r for r, _ in sizes] == [2, 2, 2, 1, 1]
+    assert sketch.pass_rate(10**8) < 0.13 and sketch.pass_rate(10**11) <= 1
+
+
+def thue_morse(a, b):
+    """A word and its complement that polynomial hashes modulo powers of two can't tell apart."""
+    return ["".join(x[bin(i).count("1") % 2] for i in range(1024)) for x in ((a, b), (b, a))]
+
+
+def test_unlike_words_with_like_polynomials(spark):
+    one, two = thue_morse("a", "b")
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert {d: r.n_removed for d, r in by_id(substrings.dedup(df)).items()} == {1: 0, 2: 0, 3: 20}
+    df = spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "id long, text string")
+    assert {r.id: r.component for r in near_duplicates.near_duplicates(df, 2).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_counts(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(near_duplicates, "FREQUENT", 3 * seed)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 30))).astype(np.uint64) for _ in range(n)] for n in (17, 23))
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert near_duplicates.shared_counts(left, right).tolist() == want
 
 
 def test_decontamination(spark, docs, none, texts):
@@ -219,7 +270,7 @@ def test_near_duplicates_far_apart_in_a_region(spark, monkeypatch):
     signs = low + (np.arange(1, 41, dtype="<u4")[:, None] << np.uint32(8))
     signs[:, : near_duplicates.DEPTH] = 7
     classes = spark.createDataFrame([(i, 10, bytearray(s.tobytes())) for i, s in enumerate(signs)], "id long, n long, sign binary").repartition(3)
-    bits = spark.sparkContext.broadcast(sketch.repeated_bits(classes.select("sign"), near_duplicates._tree_keys, near_duplicates.FOLD_BITS))
+    bits = spark.sparkContext.broadcast(sketch.repeated(classes.select("sign"), near_duplicates._tree_keys, 960))
     assert sorted(sorted(p) for p in near_duplicates._likely_pairs(classes, bits).collect()) == [[9, 33], [14, 25]]
     rows = classes.mapInArrow(near_duplicates._branches(bits, True), near_duplicates.REGIONS)
     tasks = near_duplicates._placed(rows, near_duplicates._large_prefixes(rows.select(*near_duplicates.PREFIXES, "id")))
