@@ -1,5 +1,8 @@
 """Learnt operators: held-out accuracy, gradients, and edge cases; and the pipeline's stages."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,11 +48,74 @@ def test_gradients():
         assert grads[name][at] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=1e-4)
 
 
-def test_tagger_finds_labelled_and_more(spark, docs, none, documents):
-    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def held_out_sentences(n):
+    """(text, span or None): data in other forms than the patterns', or harmless numbers, between words of the tables."""
+    rng = np.random.default_rng(99)
+    words = "the and with thatin einer pour nicht that des les esos wird over under mente que la ing er".split()
+    digits = lambda k, of="0123456789": "".join(rng.choice(list(of), k))
+    out = []
+    while len(out) < n:
+        lead, tail = (" ".join(rng.choice(words, 8)) for _ in range(2))
+        lead, tail, kind = lead + " ", " " + tail, int(rng.integers(6))
+        if kind == 5:
+            out.append((lead + pii.harmless(rng) + tail, None))
+            continue
+        plain = [f"{rng.choice(words)}.{digits(2)}@{rng.choice(words)}{digits(1)}.example.org", ".".join(str(rng.integers(256)) for _ in range(4)), digits(16), f"+{rng.integers(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", digits(40, "0123456789abcdef")][kind]
+        x = pii.varied(kind, plain, rng)
+        if kind == 4:
+            lead, tail = lead + 'auth_key: "', '"' + tail
+        out.append((lead + x + tail, (kind, len(lead), len(lead) + len(x))))
+    return out
+
+
+def test_tagger_on_held_out_forms(model):
+    made = [(t, x) for t, x in held_out_sentences(900) if x is None or not pii.base_spans(t)]
+    more = pii.added_spans([t for t, _ in made], [[] for _ in made], model)
+    right = sum(x in m for (_, x), m in zip(made, more, strict=True))
+    assert right / sum(map(len, more)) > 0.95 and right / sum(x is not None for _, x in made) > 0.9
+    for kind in range(5):
+        own = [(x, m) for (_, x), m in zip(made, more, strict=True) if x and x[0] == kind]
+        assert np.mean([x in m for x, m in own]) > 0.8
+
+
+def test_tagger_adds_to_the_table(spark, model):
+    """All assigned secrets of the table, and hardly anything in documents without personal data."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()
+    texts = [r.text for r in rows]
+    more = pii.added_spans(texts, [pii.base_spans(t) for t in texts], model)
+    secrets = [{x for x in pii.labelled_spans(t) if x[0] == 4} for t in texts]
+    assert sum(map(len, secrets)) > 10 and all(s <= set(m) for s, m in zip(secrets, more, strict=True))
+    assert sum(len(set(m) - s) for s, m in zip(secrets, more, strict=True)) < 30
+
+
+def test_query_against_brute_force(spark):
+    """Counts and digest of the query on the smallest table whole; all base spans are among the spans."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got, added = pii.op7(spark, "/root/testdata/sf0.001").collect(), 0
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        base = []
+        for kind, p in patterns.items():
+            for m in re.finditer(p, texts[r.doc_id]):
+                d = re.sub("[^0-9]", "", m[0])
+                if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 16 <= len(d) <= 19 and pii.luhn(d)) or (kind == "phone" and 8 <= len(d) <= 15):
+                    base.append((kind, *m.span()))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in patterns]
+        listed = [f"{k}:{s}:{e}" for k, s, e in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(r.spans.split(","))
+        added += len(r.spans.split(",")) - max(1, len(listed))
+    assert added > 0
+
+
+def test_tagger_edges(docs, none, model):
     texts = ["and they said (988) 555-2485 was the one to use", "nothing here at all", "the year 1984 and 2024-05-06 at 12:30, version 1.2.3"]
-    bases = [pii.base_spans(t) for t in texts]
-    more = pii.added_spans(texts, bases, model)
+    more = pii.added_spans(texts, [pii.base_spans(t) for t in texts], model)
     assert [(k, texts[0][s:e]) for k, s, e in more[0]] == [(3, "(988) 555-2485")] and more[1:] == [[], []]
     got = {r.doc_id: r for r in pii.find(docs, model).collect()}
     assert (got[8].n_email, got[8].n_ip, got[8].n_card, got[8].n_phone) == (1, 1, 1, 1) and got[3].spans == got[4].spans == ""
@@ -58,11 +124,12 @@ def test_tagger_finds_labelled_and_more(spark, docs, none, documents):
     assert pii.train(none) is None and pii.find(none, None).collect() == []
 
 
-def test_long_texts_agree_with_their_parts():
-    """Windows over a long stretch of digits decode as a whole text does."""
-    model = tagger.Tagger(2)
-    text = "id 12 " * 400
-    assert pii.added_spans([text], [[]], model) is not None
+def test_long_stretches_agree_with_their_parts(model):
+    """Over many overlapping windows the spans are those of every part by itself."""
+    part = "they called (988) 555-2485 again, room 12 of 30, "
+    one = pii.added_spans([part + part], [[]], model)[0]
+    assert [(k, (part + part)[s:e]) for k, s, e in one] == [(3, "(988) 555-2485")] * 2
+    assert pii.added_spans([part * 40], [[]], model)[0] == [(3, i * len(part) + 12, i * len(part) + 26) for i in range(40)]
 
 
 def test_url_model_separates(spark):
