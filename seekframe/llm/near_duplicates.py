@@ -30,7 +30,7 @@ from .graph import Forest, components
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
 HASHES = TREES * DEPTH
 REGION = 1200
-CHUNK, FREQUENT = 1000, 24
+CHUNK, FREQUENT = 1000, 8
 MARGIN = 0.17  # five standard deviations of an estimate from HASHES values, about
 SIMILARITY = (80, 100)
 
@@ -267,41 +267,49 @@ def _texts_of(bits):
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many values every two sets of sorted distinct values have in common, by (left, right).
 
-    Values that few sets have are counted pair by pair, the others by products of 0/1 matrices.
+    Values that few sets have are counted pair by pair, the others by products of 0/1 matrices, in blocks of bounded size either way.
     """
     out = np.zeros((len(left), len(right)), np.int32)
-    codes, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    n_left = sum(map(len, left))
-    own = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
-    have = [np.bincount(at[:n_left], minlength=len(codes)), np.bincount(at[n_left:], minlength=len(codes))]
+    pool = np.sort(np.concatenate(left if right is left else [*left, *right]))
+    repeated = np.unique(pool[1:][pool[1:] == pool[:-1]])
+    del pool
+    if not len(repeated):
+        return out
+    sides = []
+    for sets in [left] if right is left else [left, right]:
+        codes = [np.searchsorted(repeated, s) for s in sets]
+        codes = [c[repeated[np.minimum(c, len(repeated) - 1)] == s].astype(np.int32) for c, s in zip(codes, sets, strict=True)]
+        sides.append((np.concatenate(codes), np.repeat(np.arange(len(sets), dtype=np.int32), [len(c) for c in codes])))
+    sides = sides * 2 if right is left else sides
+    have = [np.bincount(codes, minlength=len(repeated)) for codes, _ in sides]
     both = (have[0] > 0) & (have[1] > 0)
     often = both & (np.minimum(*have) > FREQUENT)
-    # the few: the i-th owner on the left with the j-th on the right
-    rows = []
-    for part, who, n in ((at[:n_left], own[0], have[0]), (at[n_left:], own[1], have[1])):
-        keep = (both & ~often)[part]
-        order = np.argsort(part[keep], kind="stable")
-        rows.append((who[keep][order], np.cumsum(np.where(both & ~often, n, 0)) - np.where(both & ~often, n, 0)))
     few = np.flatnonzero(both & ~often)
-    for some in np.array_split(few, max(1, int((have[0][few] * have[1][few]).sum()) >> 22)):
-        sizes = have[0][some] * have[1][some]
-        each = np.repeat(np.arange(len(some)), sizes)
-        inside = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        i = rows[0][0][rows[0][1][some][each] + inside // have[1][some][each]]
-        j = rows[1][0][rows[1][1][some][each] + inside % have[1][some][each]]
-        out += np.bincount(i * len(right) + j, minlength=out.size).reshape(out.shape).astype(np.int32)
-    many = np.flatnonzero(often)
-    place = np.full(len(codes), -1)
-    for lo in range(0, len(many), 4096):
+    if len(few):
+        owners = []
+        for (codes, who), n in zip(sides, have, strict=True):
+            keep = np.flatnonzero((both & ~often)[codes])
+            owners.append((who[keep[np.argsort(codes[keep], kind="stable")]], np.cumsum(n[few]) - n[few]))
+        sizes = have[0][few] * have[1][few]
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), 1 << 20))
+        for lo, hi in zip(cuts, [*cuts[1:], len(few)], strict=True):
+            each = np.repeat(np.arange(lo, hi), sizes[lo:hi])
+            inside = np.arange(len(each)) - np.repeat(np.cumsum(sizes[lo:hi]) - sizes[lo:hi], sizes[lo:hi])
+            wide = have[1][few[each]]
+            i, j = owners[0][0][owners[0][1][each] + inside // wide], owners[1][0][owners[1][1][each] + inside % wide]
+            out += np.bincount(i.astype(np.int64) * len(right) + j, minlength=out.size).reshape(out.shape).astype(np.int32)
+    many, place = np.flatnonzero(often), np.empty(len(repeated), np.int32)
+    for lo in range(0, len(many), 2048):
+        some = many[lo : lo + 2048]
         place[:] = -1
-        place[many[lo : lo + 4096]] = np.arange(len(many[lo : lo + 4096]))
-        sides = []
-        for part, who, n in ((at[:n_left], own[0], len(left)), (at[n_left:], own[1], len(right))):
-            dense = np.zeros((n, len(many[lo : lo + 4096])), np.float32)
-            keep = place[part] >= 0
-            dense[who[keep], place[part][keep]] = 1
-            sides.append(dense)
-        out += np.rint(sides[0] @ sides[1].T).astype(np.int32)
+        place[some] = np.arange(len(some))
+        dense = []
+        for (codes, who), n in zip(sides, out.shape, strict=True):
+            block = np.zeros((n, len(some)), np.float32)
+            keep = place[codes] >= 0
+            block[who[keep], place[codes[keep]]] = 1
+            dense.append(block)
+        out += np.rint(dense[0] @ dense[1].T).astype(np.int32)
     return out
 
 
@@ -313,7 +321,8 @@ def _chunk_links(t: pa.Table, k: int) -> list[tuple[int, int]]:
     n = np.array([len(s) for s in sets])
     both = t.column("pair")[0].as_py()
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if both else (np.arange(len(ids)),) * 2
-    shared = shared_counts([sets[i] for i in left], [sets[j] for j in right]).astype(np.int64)
+    shared = shared_counts([sets[i] for i in left], [sets[j] for j in right]) if both else shared_counts(sets, sets)
+    shared = shared.astype(np.int64)
     union = n[left][:, None] + n[right] - shared
     ok = (shared * SIMILARITY[1] >= union * SIMILARITY[0]) & (comp[left][:, None] != comp[right])
     i, j = np.nonzero(ok if both else np.triu(ok, 1))
