@@ -296,6 +296,34 @@ def test_embeddings(spark, monkeypatch):
     assert {(r.id, r.component) for r in embeddings.near_vectors(nobody, 0.93).collect()} >= {(5, 5)}
 
 
+@pytest.mark.parametrize("d", [1, 4, 7, 64])
+def test_blocks_lose_no_link(d):
+    """Pairs at the very threshold, spread over all blocks or in a single one, alike and in two chunks; and few pairs are compared."""
+    rng, cosine = np.random.default_rng(d), 0.93
+    x = rng.normal(size=(300, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=(300, d))
+    if d > 1:
+        turn[100:200, : d - 1] = 0  # all of the difference in one coordinate, before the rotation
+        turn -= (turn * x).sum(1, keepdims=True) * x
+        turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    angle = np.arccos(cosine) * np.where(np.arange(300) % 2, 1 - 1e-7, 1 + 1e-7)[:, None]
+    y = np.cos(angle) * x + np.sin(angle) * turn if d > 1 else x * 3.0
+    want = (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) >= cosine
+    assert (embeddings.block_links(x, y, cosine, False)[0] == want).all() and want.diagonal()[1::2].all()
+    link, compared = embeddings.block_links(x, x, cosine, True)
+    assert ((link | link.T) == ((x @ x.T >= cosine) & ~np.eye(300, dtype=bool))).all()
+    assert d < 64 or np.mean(compared) < 0.1 * 300 * 299 / 2
+
+
+def test_spanning():
+    rng = np.random.default_rng(0)
+    link = rng.random((40, 30)) < 0.02
+    edges = embeddings.spanning(link)
+    assert components_of(edges, range(70)) == components_of([(int(i), int(j) + 40) for i, j in zip(*np.nonzero(link), strict=True)], range(70))
+    assert embeddings.spanning(np.zeros((3, 3), bool)) == []
+
+
 def test_packing(docs, none, texts):
     words = packing.WordTokenizer(packing.vocabulary_path())
     ids = {d: [*words.model.encode(t or "", add_special_tokens=False).ids, packing.END] for d, t in texts.items()}
