@@ -33,7 +33,7 @@ from .substrings import NO_ID, covered, heads, keys, may_repeat, runs, spread
 WIDTH, GRAM = 50, 24
 LONGEST = 64  # windows in a stretch
 SHARDS = 4
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 17  # so that the arrays of a batch stay in a cache
 FLUSH = 150_000
 HOT, SAMPLE = 16_000, 16  # distinct stretches of a bucket that is split, and the share of documents that tells
 _BYTES = byte_values()
@@ -214,24 +214,27 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.n
     """(order, interval): all rotations, given by shard and place as one running number, in the order of their first
     ``depth`` symbols, and the number of the interval with a common prefix of that length.
 
-    The interleave says which shard the next rotation comes from. It starts as one shard after the other; a round
-    sorts it stably by the symbols that precede, which makes it right for one symbol more, and splits the
-    intervals where the symbol or the interval before differs.
+    The interleave says which rotation of which shard comes next. It starts as one shard after the other; a round
+    sorts it stably by the symbols that precede, which makes it right for one symbol more, as every rotation gives way to the one
+    that begins with its preceding symbol, and splits the intervals where the symbol or the interval before differs.
     """
-    bwt = np.concatenate([b for _, b in shards])
-    edges = np.cumsum([0, *(len(b) for _, b in shards)])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), np.diff(edges))
-    element = np.arange(len(bwt))
+    values, bwt = np.unique(np.concatenate([b for _, b in shards]), return_inverse=True)
+    bwt = bwt.astype(np.uint8 if len(values) <= 256 else np.uint16)
+    longer, at = np.empty(len(bwt), np.int32), 0
+    for _, b in shards:
+        own = bwt[at : at + len(b)]
+        longer[at + np.argsort(own, kind="stable")] = np.arange(at, at + len(b), dtype=np.int32)
+        at += len(b)
+    split = np.zeros(len(bwt), bool)
+    firsts = np.cumsum(np.bincount(bwt))[:-1]  # where the symbols begin, in every round
+    element = np.arange(len(bwt), dtype=np.int32)
     interval = np.zeros(len(bwt), np.int32)
     for _ in range(depth):
-        symbol = bwt[element]
-        moved = np.argsort(symbol, kind="stable")
-        source, symbol, interval = source[moved], symbol[moved], interval[moved]
-        for k in range(len(shards)):
-            element[source == k] = np.arange(edges[k], edges[k + 1])
-        split = np.zeros(len(bwt), bool)
-        split[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(split, dtype=np.int32)
+        moved = np.argsort(bwt[element], kind="stable")
+        element, interval = longer[element[moved]], interval[moved]
+        np.not_equal(interval[1:], interval[:-1], out=split[1:])
+        split[firsts] = True
+        np.cumsum(split, out=interval)
         if interval[-1] == len(bwt) - 1:
             break
     return element, interval
@@ -321,7 +324,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(id, start, n): the windows start .. start + n - 1 of a document (id, text) that start in a smaller one too."""
     spark = docs.sparkSession
     copies = staged(docs.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("id").alias("id")).select("id"), "first-copies")
-    firsts = spark.sparkContext.broadcast(sketch.repeated(copies, _id_hashes, copies.count()))
+    firsts = spark.sparkContext.broadcast(sketch.repeated(copies, _id_hashes, 16 * copies.count()))
     # about 2 * 2 / (WIDTH - GRAM + 2) keys a byte
     bits = spark.sparkContext.broadcast(sketch.repeated(docs.select("id", "text"), _pieces(firsts), int(sketch.text_bytes(docs) * 4 / (WIDTH - GRAM + 2))))
     hot = spark.sparkContext.broadcast(hot_minimizers(docs, bits, firsts))
