@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     pairs = _likely_pairs(classes, bits)
     # families: whatever likely pairs connect; every link lies within one
     families = staged(components(pairs).withColumnRenamed("component", "family"), "minhash-families")
-    wanted = spark.sparkContext.broadcast(sketch.repeated(families.select("id"), _id_hashes, families.count()))
+    wanted = spark.sparkContext.broadcast(sketch.repeated(families.select("id"), _id_hashes, 16 * families.count()))
     texts = docs.where("id is not null").select("id", "text").mapInArrow(_texts_of(wanted), "id long, text binary").dropDuplicates(["id"])
     chunks = families.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     placed = families.join(chunks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
