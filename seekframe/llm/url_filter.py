@@ -3,10 +3,12 @@
 Rules name a host (with its subdomains) and a path prefix; the longest that fits decides. The URLs that rules
 accept and reject train two interpolated Markov models of orders 0 to ``ORDER``; contexts that were never seen
 fall back to shorter ones by themselves. The other URLs are allowed where the log-likelihood difference for each
-character reaches a threshold that is calibrated on the rule-judged URLs.
+character reaches a threshold. It is calibrated on rule-judged URLs that the models have not seen: a quarter of them, by hash, is held
+out (where that leaves a side fewer than ``LEAST_HELD`` URLs, all serve for both).
 
 DataFrame functions only. Counts are pre-aggregated by n-gram before any join, so a host with a third of all
-URLs is a few n-grams with large counts. Null URLs, and those without ``://``, have an empty host and path and
+URLs is a few n-grams with large counts. N-grams that very many URLs share, such as the first ones, are at most ``SHARED`` and are
+joined by broadcast; of the others none has more than that share of the rows. Null URLs, and those without ``://``, have an empty host and path and
 no rule; a null URL, an empty URL and every URL when there is nothing to learn from are blocked. Repeated rows
 get equal verdicts, and columns other than ``page_id`` and ``url`` are not read.
 """
@@ -21,6 +23,8 @@ from .common import partitions, staged
 ORDER = 4
 STRENGTH = 2.0
 ALPHABET = 256.0
+SHARED = 2000
+LEAST_HELD = 20  # URLs of a side that a threshold needs
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 RULES = (
@@ -92,8 +96,19 @@ def scored(urls: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFram
     """(url, score) for the distinct ``urls``: the log-likelihood difference divided by the length."""
     urls = urls.repartition(partitions(urls.sparkSession), "url")  # a few MB of URLs are many n-grams
     pieces = urls.select("url", F.explode(grams(F.col("url"), order)).alias("g")).groupBy("url", "g").agg(F.count("*").alias("n"))
-    table = ratios(pieces.select("g").distinct(), staged(model(labelled, order), "url-model"), order)
-    return pieces.join(table, "g").groupBy("url").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
+    wanted = staged(pieces.groupBy("g").agg(F.count("*").alias("urls")), "url-grams")
+    table = staged(ratios(wanted.select("g"), staged(model(labelled, order), "url-model"), order).join(wanted, "g"), "url-ratios")
+    total = table.agg(F.sum("urls")).first()[0] or 0
+    # more than a SHARED-th of all rows each, so fewer than SHARED of them
+    hot = F.broadcast(table.where(F.col("urls") > total / SHARED).select("g", F.col("ratio").alias("known")))
+    spread = F.when(F.col("known").isNull(), F.col("g")).otherwise(F.concat("g", F.lit("\0"), "url"))  # meets nothing
+    rows = pieces.join(hot, "g", "left").withColumn("g", spread).join(table.where(F.col("urls") <= total / SHARED).select("g", "ratio"), "g", "left")
+    return rows.groupBy("url").agg((F.sum(F.col("n") * F.coalesce("known", "ratio")) / F.sum("n")).alias("score"))
+
+
+def held(url: Column) -> Column:
+    """A quarter of the rule-judged URLs, kept from the models."""
+    return F.crc32(url.cast("binary")) % 4 == 2
 
 
 def threshold(scores: DataFrame) -> float:
@@ -117,9 +132,11 @@ def threshold(scores: DataFrame) -> float:
 
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     seen = pages.select("page_id", "url").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("by", rule(F.col("host"), F.col("path"), rules))
-    labelled = seen.where("by is not null").select("url", (F.col("by.verdict") == "allow").alias("accepted")).distinct()
-    scores = staged(scored(seen.where("url is not null and url <> ''").select("url").distinct(), labelled, order), "url-scores")
-    cut = threshold(labelled.join(scores, "url").select("score", "accepted"))
+    labelled = staged(seen.where("by is not null").select("url", (F.col("by.verdict") == "allow").alias("accepted")).distinct().withColumn("held", held(F.col("url"))), "url-labelled")
+    sides = {(r.held, r.accepted): r["count"] for r in labelled.groupBy("held", "accepted").count().collect()}
+    split = all(sides.get((side, accepted), 0) >= LEAST_HELD for side in (True, False) for accepted in (True, False))
+    scores = staged(scored(seen.where("url is not null and url <> ''").select("url").distinct(), labelled.where("not held") if split else labelled, order), "url-scores")
+    cut = threshold((labelled.where("held") if split else labelled).join(scores, "url").select("score", "accepted"))
     learnt = F.when(F.coalesce(F.col("score") >= cut, F.lit(False)), "allow").otherwise("block")
     return seen.join(scores, "url", "left").select("page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce("by.verdict", learnt).alias("verdict"), "score")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -11,6 +12,10 @@ import corpus_pipeline
 from seekframe.llm import decontam, language_id, near_duplicates, pii, tagger, url_filter
 
 
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -141,6 +146,80 @@ def test_url_model_separates(spark):
     assert (got[120], got[121]) == ("allow", "block")
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_url_query_against_brute_force(spark, folder):
+    """Host, path, rule, score and verdict of every page, with the models computed one character at a time."""
+    order, strength = url_filter.ORDER, url_filter.STRENGTH
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    lower = str.maketrans(url_filter.UPPER, url_filter.LOWER)
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0]
+        return host.translate(lower), re.split("[?#]", rest[len(host) :])[0]
+
+    def rule(host, path):
+        fit = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    ruled = {r.url: rule(*parts(r.url)) for r in pages if r.url}
+    held = {u for u in ruled if zlib.crc32(u.encode()) % 4 == 2}
+    sizes = [sum(v == side and (u in held) == h for u, (_, v) in ruled.items()) for side in ("allow", "block") for h in (True, False)]
+    split = min(sizes) >= url_filter.LEAST_HELD
+    assert split == ("0.1" in folder)
+    counts = {side: {} for side in ("allow", "block")}
+    for url, (_, verdict) in ruled.items():
+        if verdict and not (split and url in held):
+            padded = " " * order + url.lower()
+            for i in range(len(url)):
+                for k in range(order + 1):
+                    gram = padded[i + order - k : i + order + 1]
+                    for key in (gram, gram[:-1] + "\0"):
+                        counts[verdict][key] = counts[verdict].get(key, 0) + 1
+
+    def score(url):
+        padded, total = " " * order + url.lower(), 0.0
+        for i in range(len(url)):
+            p = dict.fromkeys(counts, 1 / url_filter.ALPHABET)
+            for side, n in counts.items():
+                for k in range(order + 1):
+                    gram = padded[i + order - k : i + order + 1]
+                    p[side] = (n.get(gram, 0) + strength * p[side]) / (n.get(gram[:-1] + "\0", 0) + strength)
+            total += np.log(p["allow"]) - np.log(p["block"])
+        return total / len(url)
+
+    scores = {u: score(u) for u in ruled}
+    known = [(scores[u], ruled[u][1] == "allow") for u in (held if split else ruled) if ruled[u][1]]
+    bins = sorted({round(x, 2) for x, _ in known})
+    sides = [sum(a for _, a in known), sum(not a for _, a in known)]
+    errors = [sum(a for x, a in known if round(x, 2) < b) / sides[0] + sum(not a for x, a in known if round(x, 2) >= b) / sides[1] for b in bins]
+    best = int(np.argmin(np.round(errors, 12)))
+    cut = bins[best] - 0.005 if best == 0 else (bins[best - 1] + bins[best]) / 2
+    got = by_id(url_filter.op3(spark, folder), "page_id")
+    assert len(got) == len(pages)
+    for r in pages:
+        g = got[r.page_id]
+        name, verdict = rule(*parts(r.url))
+        assert (g.host, g.path, g.rule) == (*parts(r.url), name)
+        assert g.verdict == (verdict or ("allow" if r.url and scores[r.url] >= cut else "block"))
+        assert not r.url or g.score == pytest.approx(scores[r.url], abs=1e-9)
+    assert np.mean([(x >= cut) == a for x, a in known]) > 0.8
+
+
+def test_url_rows_repeat(spark):
+    """Repeated and null rows are judged each by itself; grams that all URLs share are joined apart."""
+    urls = ["http://a.org/en/1", "http://a.org/en/1", None, None, "", "http://b.com/de/2", "http://c.net/en/1", "x", "ftp://\u00e9.net/\u0130", "http://d.net/" + "p" * 5000]
+    df = spark.createDataFrame([(i // 2, u, "x", 1) for i, u in enumerate(urls * 3)], "page_id long, url string, g string, score int").repartition(3)
+    rows = url_filter.judge(df).collect()
+    assert len(rows) == 30 and all(r.verdict in ("allow", "block") for r in rows)
+    by_url = {}
+    for r in rows:
+        by_url.setdefault((r.host, r.path), set()).add((r.verdict, r.rule, r.score))
+    assert all(len(x) == 1 for (h, _), x in by_url.items() if h)
+
+
 def test_stages(spark, docs, documents):
     names = docs.columns
     kept = language_id.keep_identified(spark, docs, "")
