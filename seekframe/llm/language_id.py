@@ -4,6 +4,8 @@ Every letter symbol has a random +-1 vector. A character trigram is bound from t
 letters (element-wise product of rotated copies), a text is the bundle (sum) of its trigram vectors, and so is
 a language. A document gets the language whose prototype has the largest cosine with it.
 
+The cosine with a language that a text has nothing to do with is noise of about 1 / sqrt(``DIMENSIONS``).
+
 Nulls, empty texts and texts without a letter get ``und`` with score 0. Ties go to the language first in
 alphabetical order. Rows are judged one by one, so repeated rows get equal answers; extra columns are ignored.
 """
@@ -17,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import short_batches, staged
 
 SYMBOLS = 64
-DIMENSIONS = 256
+DIMENSIONS = 512
+NOISE, ENOUGH, ATYPICAL = 4.0, 60, 0.005
 SEED = 20240229
 UNKNOWN = "und"
 
@@ -98,18 +101,20 @@ def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.lang for r in rows], np.array(unit).reshape(len(rows), DIMENSIONS)
 
 
-def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``lang_pred`` and ``score``, the cosine of the chosen prototype."""
+def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "trigrams")) -> DataFrame:
+    """``keep`` columns of ``docs`` with, under ``names``, the language, the cosine of its prototype and the number of trigrams."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, vectors))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    read = [*keep] if "text" in keep else [*keep, "text"]
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double").add(names[2], "long")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, unit = shared.value
+        known, unit = shared.value
         for batch in batches:
-            pred, score = [], []
-            for text in batch.column("__text"):
+            pred, score, size = [], [], []
+            for text in batch.column(read.index("text")):
                 grams = trigrams(text.as_py() or "")
-                if not len(grams) or not names:
+                size.append(len(grams))
+                if not len(grams) or not known:
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
@@ -117,12 +122,12 @@ def identify(docs: DataFrame, langs: list[str], vectors: np.ndarray, keep: list[
                 v = bundle(grams, n)
                 cosines = unit @ v / max(np.linalg.norm(v), 1e-12)
                 best = int(np.argmax(cosines))
-                pred.append(names[best])
+                pred.append(known[best])
                 score.append(float(np.clip(cosines[best], 0.0, 1.0)))
-            arrays = [batch.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
+            arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(judge, schema)
+    return docs.select(*read).mapInArrow(judge, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -139,9 +144,22 @@ def op1(spark, sf_dir):
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(spark, docs: DataFrame, sf_dir: str, least: float = 0.05) -> DataFrame:
-    """Pipeline stage: drops documents without a language (no letters, or no prototype anywhere near)."""
+def keep_identified(spark, docs: DataFrame, sf_dir: str, wanted: list[str] | None = None) -> DataFrame:
+    """Pipeline stage: documents of the ``wanted`` languages (all, if None) stay.
+
+    Texts without letters go, and so do texts of ``ENOUGH`` trigrams that score as noise does, below ``NOISE`` times its size and below nearly
+    all (a part of ``ATYPICAL``) of the documents that have a language; shorter ones are too little evidence to reject them.
+    Where no row has a language to learn from, every text with letters stays. Columns of any names are passed on as they are.
+    """
     short_batches(spark)
     langs, vectors = prototypes(docs.where(~held_out()))
-    names = docs.columns
-    return identify(docs, langs, vectors, names).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    columns, names = docs.columns, ("lang_pred", "score", "trigrams")
+    while {n.lower() for n in names} & {c.lower() for c in columns}:
+        names = tuple(f"_{n}" for n in names)
+    pred, score, size = map(F.col, names)
+    judged, stays = staged(identify(docs, langs, vectors, columns, names), "language-judged"), size > 0
+    if langs:
+        typical = judged.where(F.col("lang").isNotNull() & (size >= ENOUGH)).agg(F.percentile_approx(score, ATYPICAL)).first()[0]
+        stays &= (size < ENOUGH) | (score >= min(NOISE / DIMENSIONS**0.5, 1.0 if typical is None else typical))
+        stays &= pred.isin(wanted) if wanted is not None else F.lit(True)
+    return judged.where(stays).select(*columns)

@@ -36,6 +36,25 @@ def test_language_edges(docs, none):
     assert langs == [] and language_id.identify(none, langs, vectors, ["doc_id"]).collect() == []
 
 
+def test_language_stage(spark, documents, none):
+    """Keeps every document of the table that has letters, rejects noise, whatever the columns are called."""
+    rng = np.random.default_rng(1)
+    noise = [" ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(120)) for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрст", "中国人大来上个") for _ in range(10)]
+    base = documents.select("doc_id", "text", "lang")
+    made = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(noise)] + [(-1, "12 34 !"), (-2, None), (-3, ""), (-4, "ab"), (-4, "ab")], "doc_id long, text string")
+    df = base.unionByName(made, allowMissingColumns=True).withColumns({"score": F.lit("mine"), "lang_pred": F.lit(3), "_trigrams": F.lit(1), "language_id_text": F.lit(2)})
+    left = language_id.keep_identified(spark, df, "").collect()
+    ids = [r.doc_id for r in left]
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert all(r.score == "mine" and r.lang_pred == 3 for r in left) and ids.count(-4) == 2 and not {-1, -2, -3} & set(ids)
+    assert sum(i >= 10**6 for i in ids) <= 3 and {i for i, t in texts.items() if t and any(c.isalpha() for c in t)} - set(ids) == set()
+    only = language_id.keep_identified(spark, df.where("doc_id < 1000000"), "", wanted=["fr"]).where("lang is not null").collect()
+    assert only and np.mean([r.lang == "fr" for r in only]) > 0.95
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language_id.keep_identified(spark, unlabelled, "").collect()} >= set(range(10**6, 10**6 + 30)) | {-4}
+    assert language_id.keep_identified(spark, none, "").collect() == []
+
+
 def test_gradients():
     model = tagger.Tagger(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
