@@ -7,6 +7,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -402,10 +403,30 @@ def test_warc_without_ids(spark, tmp_path):
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 8])
 def test_loser_tree(k):
     rng = np.random.default_rng(k)
-    runs = [sorted((int(x), i) for x in rng.integers(0, 9, rng.integers(0, 12))) for i in range(k)]
+    runs = [sorted((f"u{x}", "t", i) for x in rng.integers(0, 9, rng.integers(0, 12))) for i in range(k)]
     assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
+@pytest.mark.parametrize(("held", "fan_in"), [(1000, 64), (7, 64), (7, 2), (1, 3)])
+def test_external_merge(held, fan_in):
+    """Rows in any order, with nulls and ties, whether they fit into memory or not."""
+    rng = np.random.default_rng(held)
+    rows = [(f"u{a}", None if b == 3 else f"t{b}", None if c < 2 else int(c), f"run{i}") for i, (a, b, c) in enumerate(rng.integers(0, 9, (200, 3)))]
+    schema = pa.schema([("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("run", pa.string())])
+    out = list(warc.merged(iter(rows), schema, held, fan_in))
+    assert sorted(map(str, out)) == sorted(map(str, rows)) and list(map(warc.order_of, out)) == sorted(map(warc.order_of, rows))
+    assert list(warc.merged(iter([]), schema)) == [] and [len(r) for r in warc.natural_runs([("b",), ("c",), ("a",), ("a",)])] == [2, 2]
+
+
+def test_archives_are_bounded(spark, tmp_path):
+    """Large pages make archives of fewer records; all are read again."""
+    df = spark.createDataFrame([(i, f"http://a.org/{i % 7}", "xyz" * 400_000 + str(i)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    assert warc.records_each(df) < 30
+    warc.write(df, str(tmp_path / "w"))
+    found = warc.read(spark, str(tmp_path / "w"))
+    assert found.select("run").distinct().count() >= 3 and sorted(r.page_id for r in warc.index(found).where("intact").collect()) == list(range(60))
+
+
 def test_base_spans(texts):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
