@@ -85,11 +85,21 @@ def property_term(value: Column, kind: str) -> Column:
 
 
 def property_json(name: Column, value: Column, order: Column) -> Column:
-    """An aggregate: names and values to one JSON object; repeated names keep their values in an array, in order."""
+    """An aggregate: names and values to one JSON object. A single value stands as it is, several of a name as an array, in order; numbers stay numbers."""
     entries = F.array_sort(F.collect_list(F.struct(order.alias("o"), name.alias("k"), value.alias("v"))))
     names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["k"])))
-    of = lambda k: F.transform(F.filter(entries, lambda e: e["k"] == k), lambda e: e["v"])
-    return F.to_json(F.map_from_arrays(names, F.transform(names, of)))
+
+    def member(key: Column) -> Column:
+        many = F.to_json(F.transform(F.filter(entries, lambda e: e["k"] == key), lambda e: e["v"]))
+        one = F.size(F.filter(entries, lambda e: e["k"] == key)) == 1
+        return F.concat(bare(F.to_json(F.array(key))), F.lit(":"), F.when(one, bare(many)).otherwise(many))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(names, member), ","), F.lit("}"))
+
+
+def bare(array: Column) -> Column:
+    """The JSON text of an array without its brackets."""
+    return F.substr(array, F.lit(2), F.length(array) - 2)
 
 
 def property_values(json: Column) -> Column:

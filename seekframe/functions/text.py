@@ -67,7 +67,8 @@ def terms(text: str | None) -> list[str]:
         word += c if now else ""
     if word:
         out.append(word)
-    return [t for t in (truncate(normalise(w)) for w in out) if t]
+    # a sign may decompose into a blank and a mark, a ligature into several words: blanks part words here too
+    return [t for t in (truncate(n) for w in out for n in normalise(w).split()) if t]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -90,6 +91,26 @@ def portable_tokens(text: Column) -> Column:
     return F.transform(found, lambda t: F.left(t, F.lit(MAX_UNITS)))
 
 
+def valid(raw: Column) -> Column:
+    """Whether bytes are a text at all."""
+    return F.is_valid_utf8(raw)
+
+
+def placed(texts: Column, first: int = 1) -> Column:
+    """``texts`` (an array of structs of field and words), one after the other: an array of (field, term, pos).
+
+    A text of one word has no position; those of several take consecutive ones, and one is left out behind them.
+    """
+    kind = "array<struct<field: string, term: string, pos: int>>"
+
+    def step(acc: Column, text: Column) -> Column:
+        words, several = text["words"], F.size(text["words"]) > 1
+        own = F.transform(words, lambda w, i: F.struct(text["field"].alias("field"), w.alias("term"), F.when(several, acc["next"] + i).cast("int").alias("pos")))
+        return F.struct((acc["next"] + F.when(F.size(words) == 1, 0).otherwise(F.size(words) + 1)).alias("next"), F.concat(acc["out"], own).cast(kind).alias("out"))
+
+    return F.aggregate(texts, F.struct(F.lit(first).alias("next"), F.array().cast(kind).alias("out")), step)["out"]
+
+
 def positions(words: Column, first: int = 1) -> Column:
     """Consecutive positions from ``first``; a text of one word has none."""
     return F.when(F.size(words) > 1, F.sequence(F.lit(first), F.lit(first - 1) + F.size(words))).otherwise(F.array().cast("array<int>"))

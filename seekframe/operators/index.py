@@ -126,9 +126,18 @@ def membership(ids: DataFrame, index: Index) -> DataFrame:
 
 
 def lookup(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of a table for given ids; ids that it lacks have nulls."""
     return ids.join(table, "doc_id", "left")
 
 
+def properties(ids: DataFrame, data: DataFrame) -> DataFrame:
+    """(doc_id, found, values): the properties of documents; no row, an empty text and an empty object all mean not found."""
+    from ..functions.encode import property_values
+
+    found = F.coalesce(~F.trim("data").isin("", "{}"), F.lit(False))
+    return lookup(ids, data).select("doc_id", found.alias("found"), F.when(found, property_values(F.col("data"))).alias("values"))
+
+
 def totals(index: Index) -> DataFrame:
     """Documents with content terms, all ids in postings, queue length, and failures, of which at most 100 are counted."""
     content = index.postings.where("origin = 'content'").agg(F.count_distinct("doc_id").alias("documents"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BITS = 62
+
+
 def all_of(sets: list[DataFrame | None]) -> DataFrame | None:
     """Documents in every set; none at all if a set is missing."""
     if not sets or any(s is None for s in sets):
@@ -34,14 +37,21 @@ def by_conditions(rows: DataFrame, leaves: dict[str, Column], keep: Column) -> D
 def phrase(tokens: DataFrame, field: str, words: list[str]) -> DataFrame:
     """Documents with the words at consecutive positions; ``tokens`` is (doc_id, field, term, pos).
 
-    Tokens move back by their place in the phrase, so a hit is one (document, position) with all places.
+    Tokens move back by their place in the phrase, so a hit is one (document, position) with all places. Places are bits, 62 to a number.
+    Only the phrase's own words are shuffled, once: hits and documents stay where their document is.
     """
     if len(words) == 1:
         return tokens.where((F.col("field") == field) & (F.col("term") == words[0])).select("doc_id").distinct()
-    own = F.array_compact(F.array(*[F.when(F.col("term") == w, F.struct(F.lit(i).alias("place"), F.lit(1 << i).cast("long").alias("bit"))) for i, w in enumerate(words)]))
-    placed = tokens.where((F.col("field") == field) & F.col("term").isin(words)).select("doc_id", "pos", F.explode(own).alias("w"))
-    hits = placed.groupBy("doc_id", (F.col("pos") - F.col("w.place")).alias("at")).agg(F.bit_or("w.bit").alias("places"))
-    return hits.where(F.col("places") == (1 << len(words)) - 1).select("doc_id").distinct()
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    of = F.element_at(F.create_map(*[x for w, own in places.items() for x in (F.lit(w), F.array(*map(F.lit, own)))]), F.col("term"))
+    placed = tokens.where((F.col("field") == field) & F.col("term").isin(list(places))).select("doc_id", "pos", F.explode(of).alias("place")).repartition("doc_id")
+    full = range(0, len(words), BITS)
+    bits = [F.bit_or(F.when(F.floor(F.col("place") / BITS) == n // BITS, F.expr(f"shiftleft(1L, place % {BITS})"))).alias(f"bits{n}") for n in full]
+    hits = placed.groupBy("doc_id", (F.col("pos") - F.col("place")).alias("at")).agg(*bits)
+    found = reduce(lambda a, b: a & b, [F.col(f"bits{n}") == (1 << min(BITS, len(words) - n)) - 1 for n in full])
+    return hits.where(found).select("doc_id").distinct()
 
 
 def exploded(postings: DataFrame) -> DataFrame:

@@ -29,6 +29,12 @@ def numbered_names(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("shown", F.when(n > 0, F.concat("name", F.lit(" ("), n, F.lit(")"))).otherwise(F.col("name")))
 
 
+def nth_named(rows: DataFrame, name: str, n: int, *order: Column) -> DataFrame:
+    """The inverse: the row that stands as ``name (n)``, n from 0; the last one where there are fewer. A top-k of its ends."""
+    named = rows.where(F.col("name") == name).withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy(*order)) - 1)
+    return named.where(F.col("n") <= n).orderBy(F.desc("n")).limit(1).drop("n")
+
+
 def per_device(ids: DataFrame) -> DataFrame:
     return ids.groupBy(F.col("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)).alias("device")).agg(F.count("*").alias("n"))
 

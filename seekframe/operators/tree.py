@@ -42,6 +42,13 @@ def descendants(paths: DataFrame, folder: str) -> DataFrame:
     return paths.where(under(F.col("path"), folder)).select("doc_id")
 
 
+def descendants_of_known(paths: DataFrame, folder: str) -> DataFrame:
+    """The subtree of a folder that has a row of its own; nothing of an unknown one. The root has none and is known."""
+    folder = "/" + "/".join(p for p in folder.split("/") if p)
+    below = paths.where(under(F.col("path"), folder))
+    return (below if folder == "/" else below.where(paths.where(F.col("path") == folder).exists())).select("doc_id")
+
+
 def children(tree: DataFrame, doc_id: int) -> DataFrame:
     return tree.where(F.col("parent_id") == doc_id).select("doc_id", "name")
 

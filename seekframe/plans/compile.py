@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import UTC, date, datetime, time, timedelta
+from datetime import date, datetime, time, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,10 @@ LAST_SECOND = 2**32 - 1
 
 @dataclass
 class Catalog:
-    """Where leaves are looked up. ``postings`` is (field, term, doc_id, positions); ``paths`` is (doc_id, path)."""
+    """Where leaves are looked up. ``postings`` is (field, term, doc_id, positions); ``paths`` is (doc_id, path), folders included.
+
+    ``tokens`` (doc_id, field, term, pos), where there are any, spare phrases the way through postings. Days are those of ``zone``, by default the session's.
+    """
 
     postings: DataFrame
     times: DataFrame | None = None
@@ -34,6 +38,12 @@ class Catalog:
     types: dict[str, str] = field(default_factory=dict)
     words: Callable[[str], list[str]] = terms
     strict: bool = False
+    tokens: DataFrame | None = None
+    zone: str | None = None
+
+    @property
+    def time_zone(self) -> ZoneInfo:
+        return ZoneInfo(self.zone or self.postings.sparkSession.conf.get("spark.sql.session.timeZone"))
 
 
 @dataclass
@@ -63,7 +73,8 @@ def _text(catalog: Catalog, name: str, value: str, whole: bool) -> Leaf | None:
     if not words:
         return None
     if len(words) > 1:
-        return Leaf(rows=match.phrase(match.exploded(catalog.postings), name, [w[:KEY_BYTES] for w in words]))
+        cut = [w[:KEY_BYTES] for w in words]
+        return Leaf(rows=match.phrase(catalog.tokens if catalog.tokens is not None else match.exploded(catalog.postings.where(F.col("term").isin(cut))), name, cut))
     return Leaf(_word(name, words[0], whole or prefix_bytes(name) + len(words[0].encode()) < 3))
 
 
@@ -102,10 +113,10 @@ def _times(catalog: Catalog, begin: int, end: int) -> Leaf | None:
     return Leaf(rows=catalog.times.where(F.col("mtime").between(begin, end)).select("doc_id"))
 
 
-def _seconds(value) -> int:
+def _seconds(value, zone: ZoneInfo) -> int:
     if isinstance(value, date) and not isinstance(value, datetime):
         value = datetime.combine(value, time())
-    return int((value if value.tzinfo else value.replace(tzinfo=UTC)).timestamp())
+    return int((value if value.tzinfo else value.replace(tzinfo=zone)).timestamp())
 
 
 def _modified(catalog: Catalog, comparator: str, value) -> Leaf | None:
@@ -120,9 +131,10 @@ def _modified(catalog: Catalog, comparator: str, value) -> Leaf | None:
         when = datetime.fromisoformat(str(value))
     except ValueError:
         return None
-    at = _seconds(when)
-    day = _seconds(when.date())
-    ranges = {"equal": (day, day + 86399), "less_equal": (0, at), "less": (0, at - 1), "greater_equal": (at, LAST_SECOND), "greater": (at + 1, LAST_SECOND)}
+    zone = catalog.time_zone
+    at = _seconds(when, zone)
+    first, last = _seconds(when.date(), zone), _seconds(when.date() + timedelta(1), zone) - 1
+    ranges = {"equal": (first, last), "less_equal": (0, at), "less": (0, at - 1), "greater_equal": (at, LAST_SECOND), "greater": (at + 1, LAST_SECOND)}
     return _times(catalog, *ranges[comparator])
 
 
@@ -135,12 +147,13 @@ def leaf(catalog: Catalog, term: Term) -> list[Leaf | None]:
     if name == "includefolder":
         if catalog.paths is None or not str(value).startswith("/"):
             return [None]
-        return [Leaf(rows=tree.descendants(catalog.paths, str(value)))]
+        return [Leaf(rows=tree.descendants_of_known(catalog.paths, str(value)))]
     if name in ("modified", "mtime"):
         return [_modified(catalog, term.comparator, value)]
     if name == "$date":
         first, last = period(*value)
-        return [_times(catalog, _seconds(first), _seconds(last + timedelta(1)) - 1)]
+        zone = catalog.time_zone
+        return [_times(catalog, _seconds(first, zone), _seconds(last + timedelta(1), zone) - 1)]
     if name == "tag":
         if whole:
             return [Leaf((F.col("field") == "tag") & (F.col("term") == str(value)))]

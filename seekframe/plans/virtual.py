@@ -8,6 +8,11 @@ from datetime import date
 from typing import NamedTuple
 from urllib.parse import parse_qsl, urlsplit
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import results
+from .compile import Catalog
 from .query import Query
 from .term import Term
 
@@ -76,6 +81,12 @@ class TagFolder:
         return Query(term=term & Term("filename", self.file_name, "equal") if self.file_name else term, order="id")
 
 
+    def file(self, catalog: Catalog) -> DataFrame:
+        """(doc_id, path) of the file that the folder's entry stands for: the n-th of its name, or the last if there are fewer."""
+        found = self.query().run(catalog).withColumn("name", F.lit(self.file_name))
+        return results.nth_named(found, self.file_name, self.repeat, F.col("doc_id")).select("doc_id", "path")
+
+
 def tag_folder(url: str, tags: set[str]) -> TagFolder:
     """``/a/b`` is the tag ``a/b`` if that is or leads to a tag, else the file ``b`` of tag ``a``; ``b (2)`` is the second repeat."""
     path = canonical(urlsplit(url).path).strip("/")

@@ -12,7 +12,7 @@ WORDS = [
     ("_plant", ["plant"]),
     ("Hello_Howdy", ["hello", "howdy"]),
     ("Como está Kûg", ["como", "esta", "kug"]),
-    ("me@vhanda.in", ["in", "me", "vhanda"]),
+    ("jo@fields.example", ["example", "fields", "jo"]),
     ("Teddy Bear 🧸", ["bear", "teddy", "🧸"]),
     ("maﬀab", ["maffab"]),
     ("𝐻𝑒𝑑𝑔𝑒", ["hedge"]),
