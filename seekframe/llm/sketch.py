@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import mixed, partitions, staged
 
 PER_KEY, LEAST_BITS, MOST_BITS, IN_BLOCK = 4, 20, 31, 19
-FLUSH = 6_000_000
+FLUSH = 1_500_000
 SCHEMA = "block int, once binary, twice binary"
 
 
@@ -49,12 +49,12 @@ class Repeats:
         out = np.ones(len(hashes), bool)
         for row, bits in enumerate(self.set):
             at = cells(hashes, row, self.bits)
-            out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+            out &= (bits[at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & 1 > 0
         return out
 
 
 def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((mixed(hashes, 20 + row) if row else hashes) >> np.uint64(64 - bits)).astype(np.int64)
+    return ((mixed(hashes, 20 + row) if row else hashes) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _coded(low: np.ndarray) -> bytes:
@@ -71,10 +71,10 @@ def _partial(hashes: np.ndarray, rows: int, bits: int) -> pa.RecordBatch:
     at, once, twice = [], [], []
     for row in range(rows):
         found, n = np.unique(cells(hashes, row, bits), return_counts=True)
-        block = found >> IN_BLOCK
+        block = (found >> np.uint32(IN_BLOCK)).astype(np.int32)
         edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
         for a, b in zip(edges, edges[1:], strict=False):
-            low = found[a:b] & ((1 << IN_BLOCK) - 1)
+            low = (found[a:b] & np.uint32((1 << IN_BLOCK) - 1)).astype(np.int64)
             at.append((row << max(0, bits - IN_BLOCK)) + int(block[a]))
             once.append(_coded(low))
             twice.append(_coded(low[n[a:b] > 1]))
