@@ -30,7 +30,7 @@ from .common import partitions, staged
 from .graph import components
 
 DIMENSIONS, JOINED = 5, 4
-CHUNK = 2048
+CHUNK = 4096
 PAIRS = 1 << 19  # compared at once
 SLACK = 1e-9
 _ROTATIONS: dict[int, np.ndarray] = {}
@@ -78,28 +78,23 @@ def neighbours(x: np.ndarray, y: np.ndarray, radius: float, same: bool) -> Itera
     low = np.minimum(cx.min(0), cy.min(0)) - 1
     sides = np.maximum(cx.max(0), cy.max(0)) - low + 2
     strides = np.cumprod(np.append(1, sides[:-1]))
-    tables = []
-    for c in (cx, cy):
-        code = (c - low) @ strides
-        order = np.argsort(code, kind="stable")
-        found, start, n = np.unique(code[order], return_index=True, return_counts=True)
-        tables.append((order, found, start, n))
-    (order_x, cells_x, start_x, n_x), (order_y, cells_y, start_y, n_y) = tables
+    codes_x, codes_y = (cx - low) @ strides, (cy - low) @ strides
+    order_x, order_y = np.argsort(codes_x, kind="stable"), np.argsort(codes_y, kind="stable")
+    codes_x = codes_x[order_x]
+    cells, start, size = np.unique(codes_y[order_y], return_index=True, return_counts=True)
     for step in product((-1, 0, 1), repeat=x.shape[1]):
         move = int(np.dot(step, strides))
         if same and move < 0:
             continue
-        at = np.minimum(np.searchsorted(cells_y, cells_x + move), len(cells_y) - 1)
-        a = np.flatnonzero(cells_y[at] == cells_x + move)
-        b = at[a]
-        sizes = n_x[a] * n_y[b]
-        ends = np.cumsum(sizes)
-        for first in range(0, int(sizes.sum()), PAIRS):
-            k = np.arange(first, min(first + PAIRS, int(ends[-1])))
-            cell = np.searchsorted(ends, k, side="right")
-            inside = k - (ends - sizes)[cell]
-            i = order_x[start_x[a[cell]] + inside // n_y[b[cell]]]
-            j = order_y[start_y[b[cell]] + inside % n_y[b[cell]]]
+        at = np.minimum(np.searchsorted(cells, codes_x + move), len(cells) - 1)
+        rows = np.flatnonzero(cells[at] == codes_x + move)
+        at = at[rows]
+        ends = np.cumsum(size[at])
+        cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PAIRS))
+        for lo, hi in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+            n = size[at[lo:hi]]
+            i = np.repeat(order_x[rows[lo:hi]], n)
+            j = order_y[np.arange(len(i)) + np.repeat(start[at[lo:hi]] - (np.cumsum(n) - n), n)]
             if same and move == 0:
                 i, j = i[i < j], j[i < j]
             yield i, j
@@ -114,15 +109,19 @@ def block_links(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> tupl
     for small, large in blocks(d):
         most = [budget * (b.stop - b.start) / d + SLACK for b in (small, large)]
         ux, wy, n = np.ascontiguousarray(u[:, small]), np.ascontiguousarray(w[:, small]), 0
+        columns = list(zip(ux.T.copy(), wy.T.copy(), strict=True))
         for i, j in neighbours(ux, wy, np.sqrt(most[0]) * (1 + SLACK), same):
-            new = ~seen[i, j]
-            if same:
-                new &= ~seen[j, i]
-            i, j = i[new], j[new]
             n += len(i)
-            near = ((ux[i] - wy[j]) ** 2).sum(1) <= most[0]
+            gap = np.zeros(len(i))
+            for a, b in columns:
+                step = a[i] - b[j]
+                gap += step * step
+            near = gap <= most[0]
             i, j = i[near], j[near]
-            near = ((u[i, large] - w[j, large]) ** 2).sum(1) <= most[1]
+            new = ~(seen[i, j] | seen[j, i]) if same else ~seen[i, j]
+            i, j = i[new], j[new]
+            step = u[i, large] - w[j, large]
+            near = np.einsum("ij,ij->i", step, step) <= most[1]
             i, j = i[near], j[near]
             seen[i, j] = True
             for at in range(0, len(i), 1 << 14):
