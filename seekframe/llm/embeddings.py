@@ -88,9 +88,11 @@ def neighbours(x: np.ndarray, y: np.ndarray, radius: float, same: bool) -> Itera
             continue
         at = np.minimum(np.searchsorted(cells, codes_x + move), len(cells) - 1)
         rows = np.flatnonzero(cells[at] == codes_x + move)
+        if not len(rows):
+            continue
         at = at[rows]
         ends = np.cumsum(size[at])
-        cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, PAIRS))
+        cuts = np.searchsorted(ends, np.arange(0, ends[-1], PAIRS))
         for lo, hi in zip(cuts, [*cuts[1:], len(rows)], strict=True):
             n = size[at[lo:hi]]
             i = np.repeat(order_x[rows[lo:hi]], n)
