@@ -44,15 +44,70 @@ def replace(index: Index, new: Index, facets: set[str]) -> Index:
     return out
 
 
-def last_writes(operations: DataFrame) -> DataFrame:
-    """(term, doc_id, op): of operations (term, doc_id, op, seq) the last of every term and document."""
-    return operations.groupBy("term", "doc_id").agg(F.max_by("op", "seq").alias("op"))
+def last_writes(operations: DataFrame, keys: tuple[str, ...] = ("term", "doc_id")) -> DataFrame:
+    """Of operations (keys, op, seq, and what comes with them) the last of every term and document."""
+    rest = [c for c in operations.columns if c not in (*keys, "seq")]
+    return operations.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("last")).select(*keys, "last.*")
 
 
 def commit(postings: DataFrame, operations: DataFrame) -> DataFrame:
-    """(term, doc_id) after add and remove operations in their order."""
-    last = last_writes(operations)
-    return postings.join(last, ["term", "doc_id"], "left_anti").unionByName(last.where("op = 'add'").select("term", "doc_id"))
+    """Postings after add and remove operations in their order. Operations have the columns of the postings that they touch, ``op`` and ``seq``."""
+    keys = [k for k in ("field", "term", "doc_id") if k in postings.columns]
+    last = last_writes(operations, tuple(keys))
+    return postings.join(last, keys, "left_anti").unionByName(last.where("op = 'add'").drop("op"), allowMissingColumns=True)
+
+
+def replace_each(index: Index, new: Index, plan: DataFrame) -> Index:
+    """Does a plan (doc_id, facets) with the rows of ``new``: adds what is new, replaces facet by facet, and queues."""
+    of = lambda facet: plan.where(F.array_contains("facets", facet)).select("doc_id").distinct()
+    part = lambda ids: Index(**{name: frame.join(ids, "doc_id", "left_semi") for name, frame in vars(new).items()})
+    out = index
+    for facet in (*FACETS, "times", "data", "url"):
+        out = replace(out, part(of(facet)), {facet})
+    out = add(out, part(of("add")))
+    return mark(out, queue=of("queue"))
+
+
+def mark(index: Index, queue: DataFrame | None = None, unqueue: DataFrame | None = None, failed: DataFrame | None = None, unfailed: DataFrame | None = None) -> Index:
+    """Puts documents (doc_id) into the queue or among the failed ones, or takes them out; whoever is in already stays once."""
+    out = index
+    for table, come, go in (("queue", queue, unqueue), ("failed", failed, unfailed)):
+        if come is not None:
+            out = out.with_(**{table: getattr(out, table).unionByName(come.select("doc_id")).distinct()})
+        if go is not None:
+            out = out.with_(**{table: getattr(out, table).join(go, "doc_id", "left_anti")})
+    return out
+
+
+def index_now(index: Index, new: Index) -> Index:
+    """Foreground indexing: documents that wait in the queue or have data are passed over, known ones replaced but for what was extracted, others added."""
+    ids = new.files.select("doc_id").join(index.queue, "doc_id", "left_anti").join(index.data, "doc_id", "left_anti")
+    known = ids.join(index.files, "doc_id", "left_semi").select("doc_id", F.array(*map(F.lit, ("filename", "xattr", "times", "url"))).alias("facets"))
+    fresh = ids.join(index.files, "doc_id", "left_anti").select("doc_id", F.array(F.lit("add")).alias("facets"))
+    return replace_each(index, new, known.unionByName(fresh))
+
+
+def to_clear(index: Index, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (path, found_id: the id in the file system, or null) with ``doc_id``: that id, else the one the index has for the path; null where neither has it."""
+    now = tree.paths(index.files).select("path", F.col("doc_id").alias("own"))
+    return wanted.join(now, "path", "left").select("path", F.coalesce("found_id", "own").alias("doc_id"))
+
+
+def clear(index: Index, wanted: DataFrame) -> Index:
+    """The index without the files ``wanted`` (path, found_id)."""
+    return remove(index, to_clear(index, wanted).where("doc_id is not null"))
+
+
+def stale_report(paths: DataFrame, found: DataFrame, ignored_devices: list[int], links: DataFrame) -> DataFrame:
+    """(doc_id, path, action) of documents that are no longer found: removed, or ignored on some devices and where they are links."""
+    gone = paths.join(found.select("path"), "path", "left_anti").join(links.select("path", F.lit(True).alias("link")).distinct(), "path", "left")
+    ignored = F.col("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)).isin(ignored_devices or [-1]) | F.coalesce("link", F.lit(False))
+    return gone.select("doc_id", "path", F.when(ignored, "ignored").otherwise("removed").alias("action"))
+
+
+def remove_stale(index: Index, report: DataFrame, dry_run: bool = False) -> Index:
+    """Does what a report says; a dry run leaves the index as it is."""
+    return index if dry_run else remove(index, report.where("action = 'removed'"))
 
 
 def settle_content(index: Index, results: DataFrame, new_postings: DataFrame, new_data: DataFrame) -> Index:

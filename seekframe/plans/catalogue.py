@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,48 +14,10 @@ from ..streaming import changes
 from . import catalogue_sql as sql
 from .compile import Catalog
 from .query import Query
+from .registry import ORACLES, QUERIES, catalog, orders, part_search, query, search, tokens
 from .term import Term
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def words(value: str) -> list[str]:
-    """The portable words of a search value."""
-    return [w[: text.MAX_UNITS] for w in re.findall("[a-z0-9]+", value.translate(str.maketrans(text.UPPER, text.LOWER)))]
-
-
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.tokens(corpus.documents(spark, sf_dir))
-
-
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Contents, names, tags and properties of the documents as one postings table."""
-    docs, tags = corpus.documents(spark, sf_dir), corpus.tags(spark, sf_dir)
-    none = F.array().cast("array<int>").alias("positions")
-    rows = index.postings(corpus.tokens(docs)).select("field", "term", "doc_id", "positions")
-    raw = tags.select(F.lit("tag").alias("field"), F.col("tag").alias("term"), "doc_id", none)
-    cut = tags.select("doc_id", F.explode(text.portable_tokens(F.col("tag"))).alias("term")).select(F.lit("tags").alias("field"), "term", "doc_id", none)
-    typed = docs.select("doc_id", F.explode(F.create_map(F.lit("length"), F.col("n_chars").cast("string"), F.lit("language"), "lang", F.lit("type"), F.lit("document"))).alias("field", "term"))
-    rows = rows.unionByName(raw).unionByName(cut).unionByName(typed.where("term is not null").select("field", "term", "doc_id", none))
-    return Catalog(rows, docs.select("doc_id", "mtime", "ctime"), docs.select("doc_id", "path"), {"length": "int", "language": "string"}, words)
-
-
-def search(spark: SparkSession, sf_dir: str, q: Query | str) -> DataFrame:
-    q = q if isinstance(q, Query) else Query(q, order="id")
-    found = q.ids(catalog(spark, sf_dir))
-    return found if found is not None else spark.createDataFrame([], "doc_id long")
-
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Query("the AND that", limit=10).run(catalog(spark, sf_dir))
@@ -115,18 +76,6 @@ def int_lt(spark, sf_dir):
     return search(spark, sf_dir, "length<500")
 
 
-def parts(spark: SparkSession, sf_dir: str) -> Catalog:
-    p = corpus.table(spark, sf_dir, "part")
-    typed = p.select(F.col("p_partkey").alias("doc_id"), F.explode(F.create_map(F.lit("price"), F.col("p_retailprice").cast("string"), F.lit("size"), F.col("p_size").cast("string"))).alias("field", "term"))
-    return Catalog(typed.withColumn("positions", F.array().cast("array<int>")), types={"price": "double", "size": "int"}, words=words)
-
-
-def part_search(spark: SparkSession, sf_dir: str, q: str, strict: bool = False) -> DataFrame:
-    c = parts(spark, sf_dir)
-    c.strict = strict
-    return Query(q).ids(c)
-
-
 @query("SELECT p_partkey AS doc_id FROM part WHERE p_retailprice >= 950")
 def double_ge(spark, sf_dir):
     return part_search(spark, sf_dir, "price>=950")
@@ -147,16 +96,22 @@ def typed_range(spark, sf_dir):
     return part_search(spark, sf_dir, "size>=10 AND size<=20")
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = corpus.table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("doc_id"), "o_orderdate", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("mtime"))
+def dated(spark: SparkSession, sf_dir: str) -> Catalog:
+    o = orders(spark, sf_dir)
+    rows = o.select(F.lit("date").alias("field"), F.explode(encode.property_term(F.col("o_orderdate"), "datetime")).alias("term"), "doc_id", F.array().cast("array<int>").alias("positions"))
+    return Catalog(rows, types={"date": "datetime"})
 
 
 @query("SELECT o_orderkey AS doc_id FROM orders WHERE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') <= '1995-06-30T00:00:00'")
 def iso_date_le(spark, sf_dir):
-    o = orders(spark, sf_dir)
-    rows = o.select(F.lit("date").alias("field"), F.explode(encode.property_term(F.col("o_orderdate"), "datetime")).alias("term"), "doc_id")
-    return index.compare(rows, "date", "string", high="1995-06-30T00:00:00")
+    return Query(term=Term("date", "1995-06-30T00:00:00", "less_equal")).ids(dated(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-03-31'")
+def iso_date_range(spark, sf_dir):
+    """Bounds are inclusive, as in every comparison of times that is not strict."""
+    low, high = (Term("date", datetime(1996, 3, day), c) for day, c in ((1, "greater"), (31, "less")))
+    return Query(term=low & high).ids(dated(spark, sf_dir))
 
 
 @query("SELECT doc_id + 1 AS doc_id FROM documents WHERE 1704067200 + doc_id * 3600 BETWEEN 1704100000 AND 1704500000")
@@ -338,9 +293,7 @@ def conditional_remove(spark, sf_dir):
 @query(sql.TREE + "SELECT doc_id, CASE WHEN path = '/EUROPE/NATION_3' OR starts_with(path, '/EUROPE/NATION_3/') THEN '/ASIA/GAUL' || substr(path, 17) ELSE path END AS path FROM walk")
 def move_subtree(spark, sf_dir):
     t = corpus.folders(spark, sf_dir)
-    one = t.where("name = 'NATION_3'")
-    moved = t.join(one.select("doc_id", F.lit(True).alias("hit")), "doc_id", "left").select("doc_id", F.when(F.col("hit"), F.lit(3).cast("long")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(F.col("hit"), "GAUL").otherwise(F.col("name")).alias("name"))
-    return tree.paths(moved, 8)
+    return tree.paths(tree.move(t, 103, 3, "GAUL"), 8)
 
 
 @query(sql.docs("SELECT DISTINCT path FROM (SELECT '/' || lang AS path FROM docs UNION ALL SELECT '/' || lang || '/' || source FROM docs UNION ALL SELECT path FROM docs) WHERE path IS NOT NULL"))
@@ -409,10 +362,13 @@ def portable_tokens(spark, sf_dir):
     return tokens(spark, sf_dir).where("field = 'content'").select("doc_id", "term", F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+@query(sql.docs(
+    """SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, left(nfc_normalize(lower(strip_accents(t))), 25) AS term
+    FROM docs, unnest(regexp_extract_all(replace(text, '_', ' '), '\\p{S}+|([0-9]([.,][0-9])*|\\p{L}([''’]\\p{L})*)+')) WITH ORDINALITY AS u(t, i)"""
+))
 def unicode_tokens(spark, sf_dir):
     docs = corpus.documents(spark, sf_dir)
-    return docs.select("doc_id", F.posexplode(text.tokenize("text")).alias("pos", "term"))
+    return docs.select("doc_id", F.posexplode(text.tokenize("text")).alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(sql.docs("SELECT doc_id, CAST(CASE WHEN n > 1 THEN 10000 END AS BIGINT) AS first, CAST(CASE WHEN n > 1 THEN 10000 + n - 1 END AS BIGINT) AS last FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM docs)"))
@@ -653,10 +609,19 @@ def sanitizer_filters(spark, sf_dir):
 # -- properties ----------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, '{\"lines\":[' || string_agg('\"' || l_linenumber || '\"', ',' ORDER BY l_linenumber, l_partkey) || ']}' AS json FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, '{\"lines\":' || CASE WHEN count(*) = 1 THEN max(l_linenumber)::VARCHAR ELSE '[' || string_agg(l_linenumber, ',' ORDER BY l_linenumber, l_partkey) || ']' END || '}' AS json FROM lineitem GROUP BY l_orderkey")
 def property_json(spark, sf_dir):
+    """Numbers; an order of one line has a plain value, others an array."""
     rows = corpus.table(spark, sf_dir, "lineitem")
-    return rows.groupBy("l_orderkey").agg(encode.property_json(F.lit("lines"), F.col("l_linenumber").cast("string"), F.struct("l_linenumber", "l_partkey")).alias("json"))
+    return rows.groupBy("l_orderkey").agg(encode.property_json(F.lit("lines"), F.col("l_linenumber"), F.struct("l_linenumber", "l_partkey")).alias("json"))
+
+
+@query("SELECT doc_id, '{\"lang\":' || to_json(lang)::VARCHAR || ',\"source\":' || to_json(source)::VARCHAR || '}' AS json FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def property_json_texts(spark, sf_dir):
+    """Two names with a text each, quoted."""
+    d = corpus.table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    rows = d.select("doc_id", F.explode(F.create_map(F.lit("source"), "source", F.lit("lang"), "lang")).alias("k", "v"))
+    return rows.groupBy("doc_id").agg(encode.property_json(F.col("k"), F.col("v"), F.lit(0)).alias("json"))
 
 
 @query("SELECT event_id, k AS name, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL)")
@@ -683,7 +648,12 @@ def id_pack(spark, sf_dir):
 # -- change events -------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE ev AS (SELECT '/user/' || user_id AS path, epoch_us(ts)::DOUBLE / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT path, n, s, 0.0::DOUBLE AS due, NULL::DOUBLE AS released, true AS fresh FROM ev WHERE n = 1
+    UNION ALL SELECT path, n, s, CASE WHEN fresh THEN d ELSE s + least(60, greatest(5, CASE WHEN d > 0 THEN 2 * (d - s) ELSE 5 END)) END, released, fresh
+        FROM (SELECT *, s - seen > 120 AND d = 0 AS fresh FROM (SELECT e.path, e.n, e.s, r.s AS seen, CASE WHEN r.due > 0 AND r.due <= e.s THEN 0 ELSE r.due END AS d, CASE WHEN r.due > 0 AND r.due <= e.s THEN r.due END AS released FROM r JOIN ev e ON e.path = r.path AND e.n = r.n + 1) x) y)
+    SELECT path, released AS at, 'delayed' AS how FROM r WHERE released IS NOT NULL UNION ALL SELECT path, s, 'at once' FROM r WHERE fresh
+    UNION ALL SELECT path, due, 'delayed' FROM r JOIN (SELECT path, max(n) AS n FROM ev GROUP BY path) l USING (path, n) WHERE due > 0""")
 def debounce_replay(spark, sf_dir):
     e = corpus.events(spark, sf_dir)
     return changes.debounce_replay(e.select("path", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").__truediv__(1e6).alias("seconds")))
@@ -724,3 +694,6 @@ def watched_paths(spark, sf_dir):
     e = corpus.events(spark, sf_dir)
     mine = corpus.table(spark, sf_dir, "events").where("user_id % 10 = 3").select(F.concat(F.lit("/user/"), "user_id").alias("path"))
     return changes.watched(e, mine).select(F.col("seq").alias("event_id"))
+
+
+from . import catalogue_forms, catalogue_upkeep  # noqa: E402, F401  these register the other queries

@@ -3,20 +3,42 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.encode import pack_id
+from ..operators.config import included
+from ..operators.tree import with_ancestors
+
 LARGE_TEXT = 10 * 1024 * 1024
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, path, name, size, mtime) of all files under a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def stat_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, path, name, size, mtime, ctime, is_dir) of files (path, size, mtime, is_dir, and where they are known device, inode and ctime): the id is made of device and inode, else of the path."""
+    packed = pack_id(F.col("device"), F.col("inode")) if {"device", "inode"} <= set(rows.columns) else F.lit(None).cast("bigint")
+    ctime = F.coalesce("ctime", "mtime") if "ctime" in rows.columns else F.col("mtime")
+    return rows.select(F.coalesce(packed, F.xxhash64("path")).alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), "size", "mtime", ctime.alias("ctime"), "is_dir")
+
+
+def listed(rows: DataFrame, folders: dict[str, bool], filters: Iterable[str] = (), hidden: bool = False, dirs_only: bool = False) -> DataFrame:
+    """What a walk down the included folders meets of rows (path, is_dir, is_link): the folders themselves, no links, nothing hidden or excluded, nor what lies below such folders."""
+    out = rows.where(~F.col("is_link") & included(F.col("path"), folders, filters, hidden))
+    return out.where("is_dir") if dirs_only else out
+
+
+def scan(spark: SparkSession, folder: str, filters: Iterable[str] = (), hidden: bool = False, dirs_only: bool = False) -> DataFrame:
+    """``stat_rows`` of a folder, the folders in it and their files, as ``listed``; contents are not read. Spark lists no empty folders, no links and no change times."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.url_decode(F.regexp_replace("path", "^[a-z]+:/*", "/"))
-    return files.select(F.xxhash64(path).alias("doc_id"), path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
+    files = found.select(path.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.lit(False).alias("is_dir"))
+    root = "/" + "/".join(p for p in re.sub("^[a-z]+:/*", "/", folder).split("/") if p)
+    above = with_ancestors(files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path"))).where((F.col("path") == root) | F.col("path").startswith(root + "/"))
+    folders = above.select("path", F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("mtime"), F.lit(True).alias("is_dir"))
+    rows = stat_rows(files.unionByName(folders)).withColumn("is_link", F.lit(False))
+    return listed(rows, {root: True}, filters, hidden, dirs_only).drop("is_link")
 
 
 def changed(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -42,7 +64,7 @@ def extract(files: DataFrame) -> DataFrame:
                 try:
                     text = bytes(content).decode()
                     if mime == "text/html":
-                        text = re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ", text)
+                        text = re.sub(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ", text)
                     elif not (mime or "").startswith("text/"):
                         raise ValueError(mime)
                     texts.append(text)

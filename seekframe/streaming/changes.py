@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.config import included
 from ..schema import EVENTS
 
 # Fixed values, in seconds: shortest and longest delay, how long a path is tracked, deadline of a rename, age of a recent write.
@@ -20,7 +21,7 @@ FLAGS = ("created", "modified", "closed", "attributes", "deleted")
 
 
 def event_stream(spark: SparkSession, folder: str, files_each: int = 100) -> DataFrame:
-    """Streaming: change events (``schema.EVENTS``) from JSON files that arrive in a folder. After an overflow or a lost folder, a scan against the known times (``sources.files.changed``) makes up for what was missed."""
+    """Streaming: change events (``schema.EVENTS``) from JSON files that arrive in a folder. After an overflow or a lost folder, ``after_overflow`` makes up for what was missed."""
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_each).json(folder)
 
 
@@ -163,6 +164,40 @@ def update_plan(found: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("facets", F.when(new, F.array(F.lit("add"))).otherwise(facets)).where("size(facets) > 0").select("doc_id", "path", "mtime", "ctime", "facets")
 
 
+def job_plan(jobs: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, facets) for jobs (path, job): ``found`` are the files that are there now (doc_id, path, mtime, ctime), ``known`` the indexed ones.
+
+    A file that is not known is added whatever the job. Of a known one, ``new`` does nothing; ``modified`` takes times and queue for another mtime, and
+    attributes, times, name and place for another ctime; ``attributes`` takes the latter four anyhow.
+    """
+    old = known.select("doc_id", F.col("mtime").alias("old_mtime"), F.col("ctime").alias("old_ctime"))
+    rows = jobs.select("path", "job").join(found.select("doc_id", "path", "mtime", "ctime"), "path").join(old, "doc_id", "left")
+    named = (F.col("job") == "attributes") | ((F.col("job") == "modified") & (F.col("ctime") != F.col("old_ctime")))
+    touched = (F.col("job") == "modified") & (F.col("mtime") != F.col("old_mtime"))
+    facets = F.array_compact(F.array(F.when(touched | named, "times"), F.when(named, "xattr"), F.when(named, "filename"), F.when(named, "url"), F.when(touched, "queue")))
+    rows = rows.withColumn("facets", F.when(F.col("old_mtime").isNull(), F.array(F.lit("add"))).otherwise(facets)).where("job <> 'remove' and size(facets) > 0")
+    return rows.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("facets")))).alias("facets"))
+
+
+def after_overflow(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, job) that make up for lost events: what a scan shows to be new, changed or gone."""
+    old = known.select("path", F.col("mtime").alias("old_mtime"), F.col("ctime").alias("old_ctime"))
+    both = found.select("path", "mtime", "ctime").join(old, "path", "full_outer")
+    changed = (F.col("mtime") != F.col("old_mtime")) | (F.col("ctime") != F.col("old_ctime"))
+    job = F.when(F.col("old_mtime").isNull(), "new").when(F.col("mtime").isNull(), "remove").when(changed, "modified")
+    return both.select("path", job.alias("job")).where("job is not null")
+
+
+def still_included(pending: DataFrame, folders: dict[str, bool], filters=(), hidden: bool = False) -> DataFrame:
+    """Waiting paths that a changed configuration still includes."""
+    return pending.where(included(F.col("path"), folders, filters, hidden))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Change events from lines of JSON (value), as a queue or a text stream delivers them; other lines give null events and drop out."""
+    return lines.select(F.from_json("value", EVENTS).alias("e")).select("e.*").where("path is not null")
+
+
 def pruned(pending: DataFrame, deleted: DataFrame) -> DataFrame:
     """Waiting paths without those that were deleted, themselves or with a folder above."""
     parts = F.split("path", "/")
