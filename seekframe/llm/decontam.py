@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, staged
+from .common import short_batches, staged, unused
 from .url_filter import LOWER, UPPER
 
 SPAN = 10
@@ -145,5 +145,6 @@ def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     from .common import table
 
     marked = mark(docs.select(row_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"))
-    marked = staged(marked.select(F.col("key").alias("decontam_key")), "decontam-marked")
-    return docs.withColumn("decontam_key", row_key()).join(marked, "decontam_key", "left_anti").select(*docs.columns)
+    own = unused("decontam_key", docs.columns)
+    marked = staged(marked.select(F.col("key").alias(own)), "decontam-marked")
+    return docs.withColumn(own, row_key()).join(marked, own, "left_anti").select(*docs.columns)

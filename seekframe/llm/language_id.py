@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, staged
+from .common import short_batches, staged, unused
 
 SYMBOLS = 64
 DIMENSIONS = 512
@@ -153,9 +153,8 @@ def keep_identified(spark, docs: DataFrame, sf_dir: str, wanted: list[str] | Non
     """
     short_batches(spark)
     langs, vectors = prototypes(docs.where(~held_out()))
-    columns, names = docs.columns, ("lang_pred", "score", "trigrams")
-    while {n.lower() for n in names} & {c.lower() for c in columns}:
-        names = tuple(f"_{n}" for n in names)
+    columns = docs.columns
+    names = tuple(unused(n, columns) for n in ("lang_pred", "score", "trigrams"))
     pred, score, size = map(F.col, names)
     judged, stays = staged(identify(docs, langs, vectors, columns, names), "language-judged"), size > 0
     if langs:

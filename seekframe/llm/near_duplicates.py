@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import mixed, partitions, short_batches, staged, window_hashes, word_hashes
+from .common import mixed, partitions, short_batches, staged, unused, window_hashes, word_hashes
 from .graph import Forest, components
 
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 4
@@ -398,12 +398,13 @@ def keep_one(spark, docs: DataFrame, sf_dir: str, k: int = 5) -> DataFrame:
     Rows are told apart by numbers of their own, as ids may be null, which stand last, or repeated.
     """
     short_batches(spark)
-    rows = staged(docs.withColumn("minhash_row", F.monotonically_increasing_id()), "minhash-rows")
-    found = staged(near_duplicates(rows.select(F.col("minhash_row").alias("id"), "text"), k).select("id", "component"), "minhash-found")
+    number = unused("minhash_row", docs.columns)
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), "minhash-rows")
+    found = staged(near_duplicates(rows.select(F.col(number).alias("id"), "text"), k).select("id", "component"), "minhash-found")
     # only groups of several rows: all members but the component itself have another id
     several = found.where("id <> component").select("component").distinct()
-    members = found.join(several, "component", "left_semi").join(rows.select(F.col("minhash_row").alias("id"), "doc_id"), "id")
+    members = found.join(several, "component", "left_semi").join(rows.select(F.col(number).alias("id"), "doc_id"), "id")
     members = staged(members.select("component", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id").alias("place")), "minhash-members")
     first = members.groupBy("component").agg(F.min("place").alias("first"))
-    gone = staged(members.join(first, "component").where("place.id <> first.id").select(F.col("place.id").alias("minhash_row")), "minhash-gone")
-    return rows.join(gone, "minhash_row", "left_anti").select(*docs.columns)
+    gone = staged(members.join(first, "component").where("place.id <> first.id").select(F.col("place.id").alias(number)), "minhash-gone")
+    return rows.join(gone, number, "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seekframe.llm import decontam, language_id, near_duplicates, pii, tagger, url_filter
+from seekframe.llm import decontam, language_id, near_duplicates, packing, pii, tagger, url_filter
 
 
 def by_id(df, key="doc_id"):
@@ -252,6 +252,90 @@ def test_stages(spark, docs, documents):
     assert left == {r.doc_id for r in docs.collect()} - {2}
 
 
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, docs, none, documents, name, stage):
+    """Empty tables, nulls in every column, repeated rows, and columns with names that the operators use themselves."""
+    sf = "/root/testdata/sf0.001"
+    clashing = ("key", "id", "n", "score", "lang_pred", "trigrams", "component", "minhash_row", "decontam_key", "place", "first", "sign", "ids", "spans", "start", "length", "words", "h")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(f"my {c}") for c in clashing})
+    names = odd.columns
+    assert stage(spark, none.withColumns({c: F.lit("x") for c in clashing if c not in none.columns}), sf).collect() == []
+    hollow = odd.unionByName(odd.where("doc_id = 0")).unionByName(spark.createDataFrame([(None,) * len(names)] * 2, ", ".join(f"{c} {t}" for c, t in odd.dtypes)))
+    left = stage(spark, hollow, sf)
+    rows = left.collect()
+    if name == "packing":
+        whole = {}
+        for r in rows:
+            whole.setdefault(r.doc_id, []).append(r.length)
+        assert sum(whole[None]) == 2 and sorted(x for x in whole if x is not None) == sorted(r.doc_id for r in docs.collect())
+    else:
+        assert left.columns == names and all(r[c] == f"my {c}" for r in rows for c in clashing if r.doc_id is not None)
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in hollow.collect()} and 9 in {r.doc_id for r in rows}
+
+
+def test_pipeline_against_brute_force(spark, documents):
+    """What every stage keeps of the smallest table, by comparing all with all; and the tokens that come out."""
+    sf, texts = "/root/testdata/sf0.001", {r.doc_id: (r.text, r.lang) for r in documents.collect()}
+    docs, left = documents, {}
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = corpus_pipeline.staged(stage(spark, docs, sf), f"test-{at}")
+        assert docs.columns == documents.columns
+        left[name] = {r.doc_id: r.text for r in docs.collect()}
+    # language: counts of trigrams in a dictionary, vectors one by one
+    counts = {}
+    for d, (t, lang) in texts.items():
+        if lang and t is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            for g in language_id.trigrams(t).tolist():
+                counts.setdefault(lang, {})[g] = counts.get(lang, {}).get(g, 0) + 1
+    unit = lambda c: (lambda v: v / np.linalg.norm(v))(language_id.bundle(np.array(list(c)), np.array(list(c.values()), float)))
+    known, scores = [unit(c) for _, c in sorted(counts.items())], {}
+    for d, (t, _) in texts.items():
+        grams = dict(zip(*map(np.ndarray.tolist, np.unique(language_id.trigrams(t or ""), return_counts=True)), strict=True))
+        scores[d] = (sum(grams.values()), max(0.0, *(float(unit(grams) @ v) for v in known)) if grams else 0.0)
+    long = sorted(s for d, (n, s) in scores.items() if n >= language_id.ENOUGH and texts[d][1])
+    least = min(language_id.NOISE / language_id.DIMENSIONS**0.5, long[int(len(long) * language_id.ATYPICAL)])
+    want = {d for d, (n, s) in scores.items() if n and (n < language_id.ENOUGH or s >= least - 1e-9)}
+    assert set(left["language_id"]) == want
+    # near-duplicates: five words, four fifths, the smallest id stays
+    def grams_of(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, up = {d: grams_of(texts[d][0]) for d in want}, {d: d for d in want}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sorted(want):
+        for b in sorted(want):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    want = {d for d in want if root(d) == d}
+    assert set(left["near_duplicates"]) == want and len(want) < len(sets)
+    # decontamination: ten words in a row
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(lower))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    want = {d for d in want if not any(tuple(w[i : i + n]) in windows for w in (words(texts[d][0]),) for n in sizes for i in range(len(w) - n + 1))}
+    assert set(left["decontamination"]) == want and len(want) < len(left["near_duplicates"])
+    # personal data: every document stays, no base span does, and what has no digit is as it was
+    assert set(left["pii"]) == want and sum(bool(pii.base_spans(texts[d][0])) for d in want) > 0
+    for d, t in left["pii"].items():
+        assert pii.base_spans(t) == [] and (re.search("[0-9@]", texts[d][0]) or t == texts[d][0])
+    # packing: the tokens of every document, each once
+    words_of, found = packing.WordTokenizer(packing.vocabulary_path()), {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect():
+        found.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert {d: [i for _, part in sorted(p) for i in part] for d, p in found.items()} == {d: words_of.ids(t).tolist() for d, t in left["pii"].items()}
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "pii", "packing"]
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
