@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seekframe.llm import decontam, language_id, near_duplicates, packing, pii
-from seekframe.llm.common import staged
+from seekframe.llm.common import scratch, staged
 
 STAGES = [
     ("language_id", language_id.keep_identified),
@@ -20,8 +20,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in a row over ``documents``, each written as Parquet and read again."""
+    """The stages in a row over ``documents``, each written as Parquet and read again; what a stage has staged for itself goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
