@@ -47,9 +47,11 @@ class Repeats:
 
     def may(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
+        left = slice(None)
         for row, bits in enumerate(self.set):
-            at = cells(hashes, row, self.bits)
-            out &= (bits[at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & 1 > 0
+            at = cells(hashes[left], row, self.bits)
+            out[left] = (bits[at >> np.uint32(3)] << (at & np.uint32(7)).astype(np.uint8)) & 128 > 0
+            left = np.flatnonzero(out)
         return out
 
 

@@ -81,9 +81,14 @@ def keys(least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def may_repeat(least: np.ndarray, most: np.ndarray, repeats: sketch.Repeats) -> np.ndarray:
     """For every window whether both its extremes may be repeated."""
-    a, b = heads(least), heads(most)
-    small, large = keys(least[a], most[b])
-    return spread(repeats.may(small), a, len(least)) & spread(repeats.may(large), b, len(least))
+    if not len(least):
+        return np.empty(0, bool)
+    a = heads(least)
+    out = spread(repeats.may(least[a]), a, len(least))
+    if out.any():
+        b = heads(most)
+        out &= spread(repeats.may(mixed(most[b], 3)), b, len(most))
+    return out
 
 
 def _windows(width: int):

@@ -5,7 +5,7 @@ neighbouring strings with one minimizer are sent on as one stretch; equal string
 their occurrences meet in one bucket. Documents equal to a smaller one lose all and go no further. A sketch keeps back
 windows whose smallest or whose largest piece is unique, and equal stretches of one partition leave only that of the smallest document. In a bucket the distinct stretches are cut into
 shards, each shard gets the transform of its rotations, and the transforms are merged by refining their interleave
-one symbol at a time: the refinement that reaches ``WIDTH`` symbols gives the order of all suffixes and the intervals
+two symbols at a time: the refinement that reaches ``WIDTH`` symbols gives the order of all suffixes and the intervals
 with a common prefix of at least ``WIDTH``, without sorting the suffixes again. An interval's strings are removed
 from all documents but the smallest; documents with a stretch equal to that of a smaller one lose all of it.
 
@@ -33,7 +33,7 @@ from .substrings import NO_ID, covered, heads, keys, may_repeat, runs, spread
 WIDTH, GRAM = 50, 24
 LONGEST = 64  # windows in a stretch
 SHARDS = 4
-BATCH_BYTES = 1 << 17  # so that the arrays of a batch stay in a cache
+BATCH_BYTES = 1 << 16  # so that the arrays of a batch stay in a cache
 FLUSH = 150_000
 HOT, SAMPLE = 16_000, 16  # distinct stretches of a bucket that is split, and the share of documents that tells
 _BYTES = byte_values()
@@ -215,25 +215,31 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.n
     ``depth`` symbols, and the number of the interval with a common prefix of that length.
 
     The interleave says which rotation of which shard comes next. It starts as one shard after the other; a round
-    sorts it stably by the symbols that precede, which makes it right for one symbol more, as every rotation gives way to the one
-    that begins with its preceding symbol, and splits the intervals where the symbol or the interval before differs.
+    sorts it stably by the two symbols that precede, which makes it right for two symbols more, as every rotation gives way to the one
+    that begins with those, and splits the intervals where the symbols or the interval before differ. Depths that are
+    odd, and alphabets of more than 256 symbols, take rounds of one symbol.
     """
     values, bwt = np.unique(np.concatenate([b for _, b in shards]), return_inverse=True)
-    bwt = bwt.astype(np.uint8 if len(values) <= 256 else np.uint16)
+    bwt = bwt.astype(np.uint16)
     longer, at = np.empty(len(bwt), np.int32), 0
     for _, b in shards:
         own = bwt[at : at + len(b)]
         longer[at + np.argsort(own, kind="stable")] = np.arange(at, at + len(b), dtype=np.int32)
         at += len(b)
+    steps = [(bwt, longer)] * depth
+    if len(values) <= 256:
+        two = (bwt[longer] * np.uint16(len(values)) + bwt, longer[longer])
+        steps = [(bwt, longer)] * (depth % 2) + [two] * (depth // 2)
+    firsts = {id(symbols): np.cumsum(np.bincount(symbols))[:-1] for symbols, _ in steps[:1] + steps[-1:]}  # where they begin, in every round
     split = np.zeros(len(bwt), bool)
-    firsts = np.cumsum(np.bincount(bwt))[:-1]  # where the symbols begin, in every round
     element = np.arange(len(bwt), dtype=np.int32)
     interval = np.zeros(len(bwt), np.int32)
-    for _ in range(depth):
-        moved = np.argsort(bwt[element], kind="stable")
-        element, interval = longer[element[moved]], interval[moved]
+    for symbols, next_ in steps:
+        moved = np.argsort(symbols[element], kind="stable")
+        element, interval = next_[element[moved]], interval[moved]
         np.not_equal(interval[1:], interval[:-1], out=split[1:])
-        split[firsts] = True
+        begins = firsts[id(symbols)]
+        split[begins[(begins > 0) & (begins < len(split))]] = True
         np.cumsum(split, out=interval)
         if interval[-1] == len(bwt) - 1:
             break
@@ -295,7 +301,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, offset = repeated_windows([w[0] for w in waiting], np.array([w[1] for w in waiting], np.int64))
             order = np.lexsort((offset, owner))
             for o, s, n in zip(*(x.tolist() for x in runs(owner[order], offset[order])), strict=True):
-                gone.extend((waiting[o][1], start + s, n) for start in waiting[o][2])
+                _, doc, starts = waiting[o]
+                if len(starts) == 1:
+                    gone.append((doc, starts[0] + s, n))
+                else:
+                    gone.extend([(doc, start + s, n) for start in starts])
         waiting.clear()
         size = 0
         columns = list(zip(*gone, strict=True)) or [()] * 3

@@ -99,11 +99,13 @@ def test_suffixes_of_all_documents(spark):
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans) == (len(b), int(gone.sum()), spans) and got[d].kept_sha256 == sha(np.frombuffer(b, np.uint8)[~gone].tobytes())
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_merged_transforms(seed):
+@pytest.mark.parametrize(("seed", "width", "letters"), [(0, 4, 3), (1, 4, 3), (2, 5, 3), (3, 7, 2), (4, 1, 3), (5, 3, 256), (6, 2, 256)])
+def test_merged_transforms(seed, width, letters):
     rng = np.random.default_rng(seed)
-    texts = [bytes(rng.integers(0, 3, rng.integers(3, 40)).astype(np.uint8)) for _ in range(12)]
-    ids, width = rng.integers(0, 5, 12), 4
+    texts = [bytes(rng.integers(0, letters, rng.integers(3, 40)).astype(np.uint8)) for _ in range(12)]
+    if letters == 256:  # more symbols than a byte holds, with the end of a text
+        texts += [bytes(range(256)), bytes(range(255, -1, -1)), bytes(range(40, 90))]
+    ids = rng.integers(0, 5, len(texts))
     owner, offset = suffixes.repeated_windows(texts, ids, width)
     least = {}
     for t, d in zip(texts, ids, strict=True):
