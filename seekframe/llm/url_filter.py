@@ -94,7 +94,8 @@ def ratios(wanted: DataFrame, counted: DataFrame, order: int = ORDER) -> DataFra
 
 def scored(urls: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """(url, score) for the distinct ``urls``: the log-likelihood difference divided by the length."""
-    urls = urls.repartition(partitions(urls.sparkSession), F.xxhash64("url"))  # a few MB of URLs are many n-grams; by their hash, as a distinct before it would be taken for this and its tasks joined
+    # a few MB of URLs are many n-grams: they are dealt out by URL before, which the counting of each URL's n-grams then needs no more
+    urls = staged(urls, "urls").repartition(partitions(urls.sparkSession), "url")
     pieces = urls.select("url", F.explode(grams(F.col("url"), order)).alias("g")).groupBy("url", "g").agg(F.count("*").alias("n"))
     wanted = staged(pieces.groupBy("g").agg(F.count("*").alias("urls")), "url-grams")
     table = staged(ratios(wanted.select("g"), staged(model(labelled, order), "url-model"), order).join(wanted, "g"), "url-ratios")
