@@ -1,14 +1,13 @@
-"""Index tables: build, save and load, dictionary and membership scans (inventory A1-A5, A13, SCAN1-SCAN15)."""
+"""Index tables: build, dictionary and membership scans (inventory A1-A5, A13, SCAN1-SCAN15)."""
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import SCHEMA_VERSION, TABLES
+from ..schema import TABLES
 
 
 @dataclass(frozen=True)
@@ -49,30 +48,6 @@ def forward_by_origin(postings: DataFrame, doc_id: int) -> DataFrame:
     return postings.where(F.col("doc_id") == doc_id).groupBy("origin").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
-def save(index: Index, path: str) -> str:
-    """A new immutable snapshot under ``path``: postings in the order of (field, term), so that row-group statistics skip what a scan does not need; then its name is made current."""
-    spark = index.postings.sparkSession
-    name = f"{path}/{uuid.uuid4().hex}"
-    for table in TABLES:
-        frame = getattr(index, table)
-        if table == "postings":
-            frame = frame.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
-        elif table == "times":
-            frame = frame.repartitionByRange("mtime", "doc_id").sortWithinPartitions("mtime")
-        frame.write.parquet(f"{name}/{table}")
-    current = spark.range(1).select(F.lit(name).alias("snapshot"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("at"))
-    current.write.mode("append").parquet(f"{path}/current")
-    return name
-
-
-def load(spark: SparkSession, path: str) -> Index | None:
-    """The newest snapshot; None where the layout has another version, which means to build anew."""
-    last = spark.read.parquet(f"{path}/current").orderBy(F.desc("at")).first()
-    if last is None or last.schema_version != SCHEMA_VERSION:
-        return None
-    return Index(**{name: spark.read.schema(schema).parquet(f"{last.snapshot}/{name}") for name, schema in TABLES.items()})
-
-
 # -- scans -------------------------------------------------------------------------
 
 

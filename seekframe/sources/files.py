@@ -29,8 +29,8 @@ def listed(rows: DataFrame, folders: dict[str, bool], filters: Iterable[str] = (
     return out.where("is_dir") if dirs_only else out
 
 
-def scan(spark: SparkSession, folder: str, filters: Iterable[str] = (), hidden: bool = False, dirs_only: bool = False) -> DataFrame:
-    """``stat_rows`` of a folder, the folders in it and their files, as ``listed``; contents are not read. Spark lists no empty folders, no links and no change times."""
+def scan(spark: SparkSession, folder: str, filters: Iterable[str] = (), dirs_only: bool = False) -> DataFrame:
+    """``stat_rows`` of a folder, the folders in it and their files, as ``listed``; contents are not read. Spark lists nothing hidden, no empty folders, no links and no change times."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.url_decode(F.regexp_replace("path", "^[a-z]+:/*", "/"))
     files = found.select(path.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.lit(False).alias("is_dir"))
@@ -38,7 +38,7 @@ def scan(spark: SparkSession, folder: str, filters: Iterable[str] = (), hidden:
     above = with_ancestors(files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path"))).where((F.col("path") == root) | F.col("path").startswith(root + "/"))
     folders = above.select("path", F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("mtime"), F.lit(True).alias("is_dir"))
     rows = stat_rows(files.unionByName(folders)).withColumn("is_link", F.lit(False))
-    return listed(rows, {root: True}, filters, hidden, dirs_only).drop("is_link")
+    return listed(rows, {root: True}, filters, True, dirs_only).drop("is_link")
 
 
 def changed(found: DataFrame, known: DataFrame) -> DataFrame:

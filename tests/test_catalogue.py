@@ -45,6 +45,5 @@ def test_prefix_reaches_the_scan(spark, tmp_path):
     assert "StringStartsWith(term,ab)" in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_rows_only(spark, small, name):
-    assert catalogue.QUERIES[name](spark, small).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES) and len(catalogue.QUERIES) > 160

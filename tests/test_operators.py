@@ -95,7 +95,7 @@ def state(i):
     return {n: sorted(str(sorted(r.asDict().items())) for r in f.collect()) for n, f in vars(i).items()}
 
 
-def test_lifecycle(spark, tmp_path):
+def test_lifecycle(spark):
     one, two = make(spark, [1], "power"), make(spark, [2], "night")
     both = maintain.add(one, two)
     assert ids(both.files) == [1, 2] and state(maintain.remove(both, two.files)) == state(one)
@@ -106,9 +106,6 @@ def test_lifecycle(spark, tmp_path):
     moves = spark.createDataFrame([(1, 2, 0, "moved"), (9, None, 0, "new")], "doc_id long, target_id long, parent_id long, name string")
     moved, unknown = maintain.move(both, moves, one.postings.limit(0))
     assert [(r.doc_id, r.name) for r in moved.files.collect()] == [(1, "moved")] and ids(unknown) == [9]
-    index.save(both, str(tmp_path / "i"))
-    index.save(one, str(tmp_path / "i"))
-    assert state(index.load(spark, str(tmp_path / "i"))) == state(one)
     assert index.totals(both).first().asDict() == {"documents": 2, "ids": 2, "queued": 2, "failed": 0}
     done = spark.createDataFrame([(1, "/f1", "succeeded"), (2, "/f2", "failed")], "doc_id long, path string, state string")
     settled = maintain.settle_content(both, done, make(spark, [1], "text").postings, make(spark, [1], "x").data)
@@ -143,7 +140,8 @@ def test_dates():
     assert dates.period(2024) == (date(2024, 1, 1), date(2024, 12, 31)) and dates.period(2024, 2) == (date(2024, 2, 1), date(2024, 2, 29))
     assert dates.period(2024, 13, 1) == dates.period(2024) and dates.period(2023, 2, 30) == dates.period(2023, 2)
     assert virtual.timeline("timeline:/today?relDays=-1", date(2024, 3, 1)) == virtual.Timeline("day", date(2024, 2, 29), "")
-    assert virtual.timeline("timeline://calendar//2024-03/", date(2024, 1, 1)).kind in ("month", "none")
+    assert virtual.timeline("timeline:/calendar//2024-03/", date(2024, 1, 1)) == virtual.Timeline("month", date(2024, 3, 1))
+    assert virtual.timeline("timeline:/2024-13", date(2024, 1, 1)).kind == "none" and virtual.timeline("timeline:/calendar/", date(2024, 1, 1)).kind == "calendar"
     assert virtual.timeline("timeline:/2024-03-05/a.txt", date(2024, 1, 1)) == virtual.Timeline("day", date(2024, 3, 5), "a.txt")
     assert virtual.shifted(date(2024, 1, 31), {"relMonths": "1"}) == date(2024, 2, 29)
     assert virtual.tag_folder("tags:/a/b", {"A/b/c"}) == virtual.TagFolder("a/b") and virtual.tag_folder("tags:/a/x.txt (2)", {"a"}) == virtual.TagFolder("a", "x.txt", 2)
@@ -161,9 +159,15 @@ def test_extraction(spark):
 
 
 def test_scan(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "a b.txt").write_text("hello")
-    assert [(r.name, r.size) for r in files.scan(spark, str(tmp_path)).collect()] == [("a b.txt", 5)]
+    for folder, name in (("d", "a b.txt"), ("d", "x.bak"), ("d/e", "f"), (".h", "g"), ("d/build", "o")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text("hello")
+    at = lambda rows: {(r.path.removeprefix(str(tmp_path)), r.is_dir, r.size) for r in rows.collect()}
+    assert at(files.scan(spark, str(tmp_path), ["*.bak", "build"])) == {("", True, 0), ("/d", True, 0), ("/d/e", True, 0), ("/d/a b.txt", False, 5), ("/d/e/f", False, 5)}
+    assert at(files.scan(spark, str(tmp_path), ["d"])) == {("", True, 0)}
+    assert at(files.scan(spark, str(tmp_path), dirs_only=True)) == {("", True, 0), ("/d", True, 0), ("/d/e", True, 0), ("/d/build", True, 0)}
+    rows = files.scan(spark, str(tmp_path)).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) and all(r.ctime == r.mtime for r in rows)
 
 
 def test_debounce(spark):
