@@ -17,6 +17,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from .common import short_batches
 WINDOW = 2048
 END = 1
 BLOCK_TOKENS = 8_000_000
-CACHE_WORDS = 700_000
-MARKS, DOTTED = ".,;:!?", "\u0130"
+CACHE_WORDS, KEPT_WORDS = 700_000, 250_000
+MARKS, DOTTED = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -55,24 +56,20 @@ class WordTokenizer:
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[ends] = True
         self.end = self.raw([END])
-        self.marks = {m: self.raw(self.model.encode(m, add_special_tokens=False).ids) for m in MARKS}
+        self.marks: dict[str, bytes] = {}
 
     @staticmethod
     def raw(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
+    def learn(self, new: set[str]) -> None:
         # A word of letters alone is one token group, so many can be encoded as one text and told apart by their
-        # ends; a mark after it is a group of its own. The small dotted I is no longer a letter alone.
+        # ends; the marks behind it are a group of their own. The small dotted I is no longer a letter alone.
         known = self.known
-        cores = [w[:-1] if w[-1] in MARKS else w for w in new]
-        plain = list({w for w in cores if w.isalpha() and DOTTED not in w and w not in known})
+        cores = [w.rstrip(MARKS) for w in new]
+        plain = list({c for c in cores if c.isalpha() and DOTTED not in c}.difference(known))
         if plain:
-            ids = self.model.encode(" ".join(plain), add_special_tokens=False).ids
+            ids = self.model.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
             ends = np.flatnonzero(self.ends[ids]).tolist()
             if len(ends) == len(plain):
                 raw, at = self.raw(ids), 0
@@ -83,24 +80,32 @@ class WordTokenizer:
         for word, core in zip(new, cores, strict=True):
             if word in known:
                 continue
-            if core in known and core.isalpha() and DOTTED not in core:
-                known[word] = known[core] + self.marks[word[-1]]
+            if core != word and core in known and core[-1].isalpha():
+                known[word] = known[core] + self.mark(word[len(core) :])
             else:
                 rest.append(word)
-        for word, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[word] = self.raw(e.ids)
+        if rest:
+            for word, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                known[word] = self.raw(e.ids)
+
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self.raw(self.model.encode(marks, add_special_tokens=False).ids)
+        return self.marks[marks]
+
+    def forget(self) -> None:
+        """Keeps the words that were learnt first, among which are those that come again most."""
+        self.known = dict(islice(self.known.items(), KEPT_WORDS))
 
     def ids(self, text: str) -> np.ndarray:
         if ODD_SPACE.search(text):  # str.split() parts at these, the vocabulary does not
             return np.array([*self.model.encode(text, add_special_tokens=False).ids, END], "<u4")
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
         words = text.split()
-        known = self.known
-        try:
-            parts = [known[w] for w in words]
-        except KeyError:
-            self.learn(set(words))
-            parts = [known[w] for w in words]
-        return np.frombuffer(b"".join([*parts, self.end]), "<u4")
+        if new := set(words).difference(self.known):
+            self.learn(new)
+        return np.frombuffer(b"".join([*map(self.known.__getitem__, words), self.end]), "<u4")
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -264,7 +269,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
                     yield packer.take()
         packer.finish()
         yield packer.take()
-        words.known = {}  # workers are used again by other operators
+        words.forget()  # the worker may take up another task of this, or of another operator
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES).select(*(F.crc32("ids").alias(c) if c == "ids_crc32" else c for c in CONTRACT), "ids")
 
