@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -39,6 +40,11 @@ CONTRACT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id
 OUT_BYTES = 16 << 20
 
 
+def only_letters(word: str) -> bool:
+    """Whether a word stays one group of letters when it is normalised and lowered."""
+    return word.isalpha() and (word.isascii() or (DOTTED not in word and unicodedata.is_normalized("NFC", word)))
+
+
 class WordTokenizer:
     """Ids of whole texts from ids of their words.
 
@@ -67,7 +73,7 @@ class WordTokenizer:
         # ends; the marks behind it are a group of their own. The small dotted I is no longer a letter alone.
         known = self.known
         cores = [w.rstrip(MARKS) for w in new]
-        plain = list({c for c in cores if c.isalpha() and DOTTED not in c}.difference(known))
+        plain = list({c for c in cores if only_letters(c)}.difference(known))
         if plain:
             ids = self.model.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
             ends = np.flatnonzero(self.ends[ids]).tolist()
@@ -80,7 +86,7 @@ class WordTokenizer:
         for word, core in zip(new, cores, strict=True):
             if word in known:
                 continue
-            if core != word and core in known and core[-1].isalpha():
+            if core != word and core in known and only_letters(core):
                 known[word] = known[core] + self.mark(word[len(core) :])
             else:
                 rest.append(word)

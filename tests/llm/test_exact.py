@@ -331,7 +331,7 @@ def test_packing(docs, none, texts):
     words = packing.WordTokenizer(packing.vocabulary_path())
     ids = {d: [*words.model.encode(t or "", add_special_tokens=False).ids, packing.END] for d, t in texts.items()}
     assert {d: words.ids(t or "").tolist() for d, t in texts.items()} == ids
-    for odd in ("it's \x1c# áb İstanbul <|endoftext|> x", "日本 語　全角 x y 한글 ᄒ ᅡ", "'s don't 12.5 … A\u0301"):
+    for odd in ("it's \x1c# áb İstanbul <|endoftext|> x", "日本 語　全角 x y 한글 ᄒ ᅡ", "'s don't 12.5 … A\u0301", "\u0958 \u0958!! \u0130 \u0130!! a!! a!!! !! x's y' z''s b#c# b#c#!"):
         assert words.ids(odd).tolist() == [*words.model.encode(odd, add_special_tokens=False).ids, packing.END]
     pieces, sequences = {}, {}
     window = 64
