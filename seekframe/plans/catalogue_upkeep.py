@@ -304,3 +304,14 @@ def kept_paths(spark, sf_dir):
     """Paths of a kept index, from its tree."""
     i = generate.index_of(library(spark, sf_dir))
     return tree.paths(store.load(spark, kept(spark, i)).files, 8)
+
+
+@query("SELECT count(*) + count(DISTINCT source) AS files FROM documents")
+def built_anew(spark, sf_dir):
+    """An index whose layout has another version isn't read but built again."""
+    i = generate.index_of(library(spark, sf_dir))
+    path = kept(spark, i)
+    spark.range(1).select(F.lit(0).alias("schema_version"), F.lit(8).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+    if store.load(spark, path) is None:
+        store.create(i, path, 8)
+    return store.load(spark, path).files.agg(F.count("*").alias("files"))
