@@ -31,7 +31,9 @@ from .common import short_batches
 WINDOW = 2048
 END = 1
 BLOCK_TOKENS = 8_000_000
+#: Words that a worker knows at most, and that it keeps for its next task; the pipeline's workers hold memory of other stages too.
 CACHE_WORDS, KEPT_WORDS = 700_000, 250_000
+STAGE_CACHE_WORDS = 200_000
 MARKS, DOTTED = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -52,7 +54,8 @@ class WordTokenizer:
     words, so the ids of a text are those of its words in a row. Words are tokenised once and kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,15 +102,15 @@ class WordTokenizer:
             self.marks[marks] = self.raw(self.model.encode(marks, add_special_tokens=False).ids)
         return self.marks[marks]
 
-    def forget(self) -> None:
+    def forget(self, keep: int) -> None:
         """Keeps the words that were learnt first, among which are those that come again most."""
-        self.known = dict(islice(self.known.items(), KEPT_WORDS))
+        self.known = dict(islice(self.known.items(), keep))
 
     def ids(self, text: str) -> np.ndarray:
         if ODD_SPACE.search(text):  # str.split() parts at these, the vocabulary does not
             return np.array([*self.model.encode(text, add_special_tokens=False).ids, END], "<u4")
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
+        if len(self.known) > self.most:
+            self.forget(self.most // 3)
         words = text.split()
         if new := set(words).difference(self.known):
             self.learn(new)
@@ -260,11 +263,12 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS, cache_words: int = CACHE_WORDS, kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row for each piece of a document (doc_id, text), with its token ids as little-endian 32-bit numbers; see the module's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
+        words.most = cache_words
         packer = _Packer(TaskContext.get().partitionId() << 40, window)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -275,7 +279,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
                     yield packer.take()
         packer.finish()
         yield packer.take()
-        words.forget()  # the worker may take up another task of this, or of another operator
+        words.forget(kept_words)  # the worker may take up another task of this, or of another operator
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES).select(*(F.crc32("ids").alias(c) if c == "ids_crc32" else c for c in CONTRACT), "ids")
 
@@ -294,4 +298,4 @@ def op9(spark, sf_dir):
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     short_batches(spark)
-    return pack(docs, vocabulary_path())
+    return pack(docs, vocabulary_path(), cache_words=STAGE_CACHE_WORDS, kept_words=0)
