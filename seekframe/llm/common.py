@@ -87,7 +87,7 @@ def window_hashes(x: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 LONGEST_WORD = 1024  # bytes; longer words are told apart by a digest
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
