@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 ROUND = 2_000_000
-DEALS = 64
+DEALS, HUB = 64, 50_000  # a node of more edges than these is dealt out
 
 
 class Forest:
@@ -57,21 +57,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges with ``m``, the least neighbour of ``u``; the edges of a hub are dealt out over ``DEALS`` tasks."""
+def _with_least(edges: DataFrame, hubs: bool) -> DataFrame:
+    """Edges with ``m``, the least neighbour of ``u``; where there are hubs, the edges of a node are dealt out over ``DEALS`` tasks."""
+    if not hubs:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
     dealt = edges.withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(DEALS)))
     part = dealt.groupBy("u", "deal").agg(F.min("v").alias("m"))
     least = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("deal").alias("deals"))
     return dealt.join(least.select("u", "m", F.explode("deals").alias("deal")), ["u", "deal"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return _with_least(both, hubs).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    near = _with_least(edges)
+def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
+    near = _with_least(edges, hubs)
     moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
 
@@ -85,7 +87,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        edges = staged(_small_star(_large_star(edges)), "components")
+        # an edge's end is counted on either side; a partition's stars hold every node but once
+        ends = edges.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+        hubs = not ends.where(F.col("n") > HUB).isEmpty()
+        edges = staged(_small_star(_large_star(edges, hubs), hubs), "components")
         now = mark(edges)
         if now == seen:
             break

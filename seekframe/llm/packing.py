@@ -33,7 +33,7 @@ END = 1
 BLOCK_TOKENS = 8_000_000
 #: Words that a worker knows at most, and that it keeps for its next task; the pipeline's workers hold memory of other stages too.
 CACHE_WORDS, KEPT_WORDS = 700_000, 250_000
-STAGE_CACHE_WORDS = 200_000
+STAGE_CACHE_WORDS = 100_000
 MARKS, DOTTED = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0130"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 

@@ -219,7 +219,9 @@ def components_of(links, nodes):
     return {n: root(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [50_000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
