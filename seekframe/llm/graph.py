@@ -87,7 +87,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
-        # an edge's end is counted on either side; a partition's stars hold every node but once
+        # on either side of its edges a node is counted
         ends = edges.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
         hubs = not ends.where(F.col("n") > HUB).isEmpty()
         edges = staged(_small_star(_large_star(edges, hubs), hubs), "components")
